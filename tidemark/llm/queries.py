@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.best_record import best_representative
+from tidemark.llm.leakage import leaked_items
 from tidemark.llm.nearest_time import nearest_in_time
+from tidemark.llm.residue import residue
 from tidemark.session import table
 
 
@@ -24,7 +26,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(F.col("left_id").alias("prediction_id"), F.col("right_id").alias("quote_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), doc_id="doc_id", text="text", item_id="item_id", item_text="text", item_answer="answer"
+    ).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").select(F.col("doc").alias("doc_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 
 SQL = {
     "p1_found": """
