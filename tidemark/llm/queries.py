@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.best_record import best_representative
+from tidemark.llm.bin_fill import container_use, fill_containers
+from tidemark.llm.entity_match import match_fixtures
 from tidemark.llm.leakage import leaked_items
 from tidemark.llm.nearest_time import nearest_in_time
 from tidemark.llm.residue import residue
@@ -19,6 +21,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("fixture_id", "home_goals", "away_goals", "season_id", "source_codes")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_fixtures(table(spark, sf_dir, "fixture_record"), table(spark, sf_dir, "corner_target"), table(spark, sf_dir, "data_source")).select("corner_fixture_id", "internal_id")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_in_time(
         table(spark, sf_dir, "walk_forward_prediction"), table(spark, sf_dir, "external_market_quote"), left_id="prediction_id", left_entity="fixture_id",
@@ -26,6 +32,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(F.col("left_id").alias("prediction_id"), F.col("right_id").alias("quote_id"))
 
 
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_container"), doc_id="doc_id", text="text", kind="container_kind", capacity="capacity_tokens")
+
+
+def p8_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir).withColumnRenamed("doc", "doc_id")
+
+
+def p8_container_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container_use(_filled(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), doc_id="doc_id", text="text", item_id="item_id", item_text="text", item_answer="answer"
@@ -36,7 +54,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").select(F.col("doc").alias("doc_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p7_found, p8_assignments, p8_container_use, p9_found, p10_found)}
 
 SQL = {
     "p1_found": """
