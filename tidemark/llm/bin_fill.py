@@ -24,7 +24,7 @@ from tidemark.session import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual splitting pattern of byte-level BPE vocabularies of this size: a fixed value.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = T.StructType([T.StructField("doc", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("first_token", T.LongType()), T.StructField("tokens", T.LongType())])
 PLACED = T.StructType([*PIECE.fields, T.StructField("container_kind", T.StringType()), T.StructField("container_id", T.StringType()), T.StructField("capacity", T.LongType())])
 
@@ -127,7 +127,7 @@ def fill_containers(docs: DataFrame, containers: DataFrame, *, doc_id: str, text
     with the input; a group is large enough that little room is lost to its last containers. Only texts longer than
     the largest capacity are divided. Null and empty texts need no room; repeated rows are items of their own;
     container kinds with a null or no capacity are left out, and without any kind there is no result."""
-    kinds = sorted((int(r[1]), str(r[0])) for r in containers.select(kind, capacity).distinct().limit(1000).collect() if r[1] and int(r[1]) > 0 and r[0] is not None)
+    kinds = sorted((int(r[1]), str(r[0])) for r in containers.select(kind, capacity).distinct().collect() if r[1] and int(r[1]) > 0 and r[0] is not None)
     if not kinds:
         return docs.sparkSession.createDataFrame([], PLACED)
     items = cut(pieces(docs, doc_id, text, kinds[-1][0], vocabulary))
