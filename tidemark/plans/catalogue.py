@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import dealt
+from tidemark.plans import dealt, relational
 
-MODULES = (dealt,)
-QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
-SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
+REGISTRIES = (relational.R,)
+QUERIES = dealt.QUERIES | {k: f for r in REGISTRIES for k, f in r.queries.items()}
+SQL = dealt.SQL | {k: s for r in REGISTRIES for k, s in r.sql.items()}
