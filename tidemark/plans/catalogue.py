@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import dealt, relational
+from tidemark.plans import dealt, modelling, relational
 
-REGISTRIES = (relational.R,)
+REGISTRIES = (relational.R, modelling.R)
 QUERIES = dealt.QUERIES | {k: f for r in REGISTRIES for k, f in r.queries.items()}
 SQL = dealt.SQL | {k: s for r in REGISTRIES for k, s in r.sql.items()}
