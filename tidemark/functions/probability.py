@@ -41,23 +41,6 @@ def low_score_factor(h: Column, a: Column, home: Column, away: Column, rho: Colu
     return F.when((h == 0) & (a == 0), 1 - home * away * rho).when((h == 0) & (a == 1), 1 + home * rho).when((h == 1) & (a == 0), 1 + away * rho).when((h == 1) & (a == 1), 1 - rho).otherwise(F.lit(1.0))
 
 
-def score_cells(home: Column, away: Column, rho: Column, support: int) -> Column:
-    """All scores up to ``support`` a side as an array of structs with normalised probabilities."""
-    n = F.lit(support)
-    side = lambda r: F.transform(F.sequence(F.lit(0), n), lambda k: poisson_pmf(k, r))
-    both = F.struct(side(home).alias("h"), side(away).alias("a"))
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.transform(F.sequence(F.lit(0), n), lambda j: F.struct(i.alias("home"), j.alias("away"), (both["h"][i] * both["a"][j] * low_score_factor(i, j, home, away, rho)).alias("p")))))
-    total = F.aggregate(cells, F.lit(0.0), lambda s, x: s + x["p"])
-    return F.transform(cells, lambda x: F.struct(x["home"].alias("home"), x["away"].alias("away"), (x["p"] / total).alias("p")))
-
-
-def moneyline(home: Column, away: Column, rho: Column, support: int = 12) -> Column:
-    """Probabilities of home win, draw and away win, from the normalised cells."""
-    cells = score_cells(home, away, rho, support)
-    part = lambda keep: F.aggregate(F.filter(cells, keep), F.lit(0.0), lambda s, x: s + x["p"])
-    return F.struct(part(lambda x: x["home"] > x["away"]).alias("home_win"), part(lambda x: x["home"] == x["away"]).alias("draw"), part(lambda x: x["home"] < x["away"]).alias("away_win"))
-
-
 def log_loss(p: Column, floor: float = FLOOR) -> Column:
     return -F.ln(F.greatest(p, F.lit(floor)))
 

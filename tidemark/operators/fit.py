@@ -35,12 +35,11 @@ def fit_temperature(df: DataFrame, probabilities: Sequence[str], outcome: str, l
     narrows it to the neighbours of the best, so nothing is collected but one row a round."""
     for _ in range(rounds):
         grid = np.linspace(low, high, points).tolist()
-        losses = []
-        for t in grid:
-            ps = tempered([F.col(p) for p in probabilities], F.lit(t))
-            losses.append(F.avg(log_loss(F.coalesce(*[F.when(F.col(outcome) == i, p) for i, p in enumerate(ps)]))))
-        row = df.agg(*[x.alias(f"l{i}") for i, x in enumerate(losses)]).first()
-        best = min(range(points), key=lambda i: row[i] if row[i] is not None else math.inf)
+        each = df.select(outcome, *probabilities, F.posexplode(F.array(*map(F.lit, grid))).alias("i", "t"))
+        scaled = tempered([F.col(p) for p in probabilities], F.col("t"))
+        loss = log_loss(F.coalesce(*[F.when(F.col(outcome) == i, p) for i, p in enumerate(scaled)]))
+        row = {r["i"]: r["l"] for r in each.groupBy("i").agg(F.avg(loss).alias("l")).collect()}  # one row a grid point
+        best = min(range(points), key=lambda i: row.get(i) if row.get(i) is not None else math.inf)
         low, high = grid[max(0, best - 1)], grid[min(points - 1, best + 1)]
     return (low + high) / 2
 

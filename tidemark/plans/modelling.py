@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import probability as P
 from tidemark.functions import text as X
-from tidemark.operators import asof, fit, ledger, linking, replay, stats
+from tidemark.operators import asof, fit, grid, ledger, linking, replay, stats
 from tidemark.plans.registry import Registry, Tables
 from tidemark.plans.relational import mean_micro, micro
 from tidemark.plans.views import TEAM_ROWS, TICKS, matches, team_rows, ticks
@@ -58,11 +58,11 @@ def slot_floor_dedupe(t: Tables) -> DataFrame:
     return ticks(t).groupBy("user_id", F.floor(F.col("sec") / 21600).alias("slot")).agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("with b as (select min(o_orderdate)::date lo, max(o_orderdate)::date hi from orders), s as (select cast(unnest(generate_series(lo, hi, interval 1 day)) as date) d from b), c as (select o_orderdate::date d, count(*) n from orders group by 1) select cast(s.d as varchar) day, coalesce(n, 0) n from s left join c using (d)")
+@query("with b as (select min(o_orderdate)::date lo, max(o_orderdate)::date hi from orders), s as (select cast(unnest(generate_series(lo, hi, interval 1 day)) as date) d from b), c as (select o_orderdate::date d, count(*) n from orders group by 1) select cast(s.d as varchar) on_day, coalesce(n, 0) n from s left join c using (d)")
 def date_spine_gaps(t: Tables) -> DataFrame:
     d = t.orders.select(F.to_date("o_orderdate").alias("d"))
     spine = d.agg(F.explode(F.sequence(F.min("d"), F.max("d"))).alias("d"))
-    return spine.join(d.groupBy("d").agg(F.count(F.lit(1)).alias("n")), "d", "left").select(F.col("d").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
+    return spine.join(d.groupBy("d").agg(F.count(F.lit(1)).alias("n")), "d", "left").select(F.col("d").cast("string").alias("on_day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("select c_custkey, sha256(concat_ws('|', 'customer', c_custkey, c_mktsegment)) sha from customer")
@@ -75,9 +75,12 @@ def stable_ids(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", X.stable_id("customer", F.col("c_custkey"), F.col("c_mktsegment"), namespace=NAMESPACE).alias("id"))
 
 
-def _outcomes(df: DataFrame, rho) -> DataFrame:
-    m = P.moneyline(F.col("expected_home_goals"), F.col("expected_away_goals"), rho)
-    return df.withColumn("m", m).select("prediction_id", *[micro(f"m.{k}").alias(k) for k in ("home_win", "draw", "away_win")])
+def _grid(t: Tables, rho) -> DataFrame:
+    return grid.score_rows(t.walk_forward_prediction, ["prediction_id"], F.col("expected_home_goals"), F.col("expected_away_goals"), rho)
+
+
+def _outcomes(cells: DataFrame) -> DataFrame:
+    return grid.outcome_probabilities(cells, ["prediction_id"]).select("prediction_id", *[micro(k).alias(k) for k in ("home_win", "draw", "away_win")])
 
 
 _MONEY = "with {cells}, s as (select prediction_id, sum(p) z, sum(p) filter (where h > a) w, sum(p) filter (where h = a) d, sum(p) filter (where h < a) l from cells group by 1) select prediction_id, " + ", ".join(M6.format(f"{c} / z") + f" {n}" for c, n in (("w", "home_win"), ("d", "draw"), ("l", "away_win"))) + " from s"
@@ -85,25 +88,25 @@ _MONEY = "with {cells}, s as (select prediction_id, sum(p) z, sum(p) filter (whe
 
 @query(_MONEY.format(cells=CELLS.format(tau="1")))
 def poisson_moneyline(t: Tables) -> DataFrame:
-    return _outcomes(t.walk_forward_prediction.select("prediction_id", "expected_home_goals", "expected_away_goals"), F.lit(0.0))
+    return _outcomes(_grid(t, F.lit(0.0)))
 
 
 @query(_MONEY.format(cells=CELLS.format(tau=TAU)))
 def dixon_coles_moneyline(t: Tables) -> DataFrame:
-    return _outcomes(t.walk_forward_prediction.select("prediction_id", "expected_home_goals", "expected_away_goals", "dixon_coles_rho"), F.col("dixon_coles_rho"))
+    return _outcomes(_grid(t, F.col("dixon_coles_rho")))
 
 
 @query(f"with {CELLS.format(tau=TAU)}, z as (select prediction_id, sum(p) z from cells group by 1) select prediction_id, h home, a away, {M6.format('p / z')} p from cells join z using (prediction_id) where h <= 3 and a <= 3")
 def score_grid_cells(t: Tables) -> DataFrame:
-    p = t.walk_forward_prediction.select("prediction_id", P.score_cells(F.col("expected_home_goals"), F.col("expected_away_goals"), F.col("dixon_coles_rho"), 12).alias("c"))
-    return p.select("prediction_id", F.explode("c").alias("c")).where("c.home <= 3 and c.away <= 3").select("prediction_id", F.col("c.home").cast("bigint").alias("home"), F.col("c.away").cast("bigint").alias("away"), micro("c.p").alias("p"))
+    low = _grid(t, F.col("dixon_coles_rho")).where("h <= 3 and a <= 3")
+    return low.select("prediction_id", F.col("h").cast("bigint").alias("home"), F.col("a").cast("bigint").alias("away"), micro("p").alias("p"))
 
 
 @query(f"""with {CELLS.format(tau='1')}, tot as (select prediction_id, h + a k, sum(p) p from cells group by all), cdf as (select prediction_id, k, sum(p) over (partition by prediction_id order by k) / sum(p) over (partition by prediction_id) f from tot)
     select prediction_id, {M6.format('sum(pow(f - case when home_goals + away_goals <= k then 1 else 0 end, 2))')} rps from cdf join walk_forward_prediction using (prediction_id) group by prediction_id""")
 def grid_marginals_rps(t: Tables) -> DataFrame:
-    p = t.walk_forward_prediction.select("prediction_id", (F.col("home_goals") + F.col("away_goals")).alias("y"), F.explode(P.score_cells(F.col("expected_home_goals"), F.col("expected_away_goals"), F.lit(0.0), 12)).alias("c"))
-    totals = p.groupBy("prediction_id", "y", (F.col("c.home") + F.col("c.away")).alias("k")).agg(F.sum("c.p").alias("p"))
+    cells = grid.score_rows(t.walk_forward_prediction.withColumn("y", F.col("home_goals") + F.col("away_goals")), ["prediction_id", "y"], F.col("expected_home_goals"), F.col("expected_away_goals"), F.lit(0.0))
+    totals = cells.groupBy("prediction_id", "y", (F.col("h") + F.col("a")).alias("k")).agg(F.sum("p").alias("p"))
     cdf = totals.withColumn("f", F.sum("p").over(W.partitionBy("prediction_id").orderBy("k")))
     d = F.col("f") - F.when(F.col("y") <= F.col("k"), 1.0).otherwise(0.0)
     return cdf.groupBy("prediction_id").agg(F.sum(d * d).alias("s")).select("prediction_id", micro("s").alias("rps"))
@@ -199,6 +202,15 @@ def state_replay_corners(t: Tables) -> DataFrame:
     return replay.state_replay(matches(t).withColumn("neutral", F.col("fixture_id") % 10 == 0), F.lit(0), spec)
 
 
+@query(f"with {CELLS.format(tau='1')}, g as (select prediction_id, h, a, p, h > a r, h = a d, p * exp(0.1 * h - 0.05 * a) q from cells), s as (select *, q / sum(q) over (partition by prediction_id, r, d) * sum(p) over (partition by prediction_id, r, d) / sum(p) over (partition by prediction_id) x from g) select prediction_id, {M6.format('sum(h * x)')} home_mean, {M6.format('sum(x) filter (where r)')} home_win from s group by 1")
+def conditional_tilt(t: Tables) -> DataFrame:
+    """Home goals tilted within each outcome, whose probability stays."""
+    cells = _grid(t, F.lit(0.0)).withColumn("r", F.col("h") > F.col("a")).withColumn("d", F.col("h") == F.col("a"))
+    out = grid.tilted(cells, ["prediction_id"], {"home": F.col("h").cast("double"), "away": F.col("a").cast("double")}, {"home": 0.1, "away": -0.05}, ["r", "d"])
+    sums = out.groupBy("prediction_id").agg(F.sum(F.col("h") * F.col("p")).alias("m"), F.sum(F.when(F.col("r"), F.col("p"))).alias("w"))
+    return sums.select("prediction_id", micro("m").alias("home_mean"), micro("w").alias("home_win"))
+
+
 @query(f"select corner_fixture_id, {M6.format('exp(lgamma(total_corners + 8.0) - lgamma(8.0) - lgamma(total_corners + 1) + 8.0 * ln(8.0 / 18.2) + total_corners * ln(10.2 / 18.2))')} p from corner_target")
 def corner_pmf(t: Tables) -> DataFrame:
     return t.corner_target.select("corner_fixture_id", P.negative_binomial_pmf(F.col("total_corners"), F.lit(10.2), F.lit(8.0)).alias("p")).select("corner_fixture_id", micro("p").alias("p"))
