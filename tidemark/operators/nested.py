@@ -1,8 +1,8 @@
 """Deeply nested records to flat tables, by Merkle identities of their parts.
 
-Every object and list is canonicalised and hashed bottom-up: its hash covers its scalars and the hashes of its
-children. Identical parts are stored once as a node; each place where one occurs is kept as a bridge row from its
-parent with field and ordinal, and each record as a root row. Flat tables are read off by walking bridges, once per
+Every object is canonicalised and hashed bottom-up: its hash covers its scalars and the hashes of its children.
+Identical objects are stored once as a node; each place where one occurs is kept as a bridge row from its parent with
+field and ordinal, and each record as a root row. The elements of a list are bridged from the object that holds it. Flat tables are read off by walking bridges, once per
 distinct part rather than once per record.
 """
 
@@ -14,10 +14,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cores, cut
 
 ROWS = "kind string, record_id long, id binary, parent binary, field string, ordinal int, attrs map<string,string>"
 ARROW = pa.schema([("kind", pa.string()), ("record_id", pa.int64()), ("id", pa.binary()), ("parent", pa.binary()), ("field", pa.string()), ("ordinal", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string()))])
@@ -25,7 +25,7 @@ MAX_DEPTH = 200
 
 
 def _text(value: object) -> str | None:
-    """A scalar as text; true, false and numbers as in JSON."""
+    """A scalar as text; true, false, numbers and lists of scalars as in JSON."""
     return value if isinstance(value, str) or value is None else json.dumps(value)
 
 
@@ -41,35 +41,38 @@ def unwrap(value: object, envelope: tuple[str, ...]) -> list[object]:
 
 
 class Merkle:
-    """Nodes and bridges of a batch; what was already emitted in the batch isn't again."""
+    """Nodes and bridges of a batch; what was already told in the batch isn't again. An element of a list that is no
+    object becomes one with an empty field name; lists of scalars only are scalars."""
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
         self.seen: set[bytes] = set()
 
-    def add(self, value: dict | list, depth: int = 0) -> bytes:
-        """The identity of an object or list. The digest takes fields in sorted order with type-tagged scalars, so that
-        neither the order nor the spelling of JSON matters, while ``1`` and ``"1"`` differ."""
+    def add(self, value: dict, depth: int = 0) -> bytes:
+        """The identity of an object. The digest takes fields in sorted order with type-tagged scalars, so that neither
+        the order nor the spelling of JSON matters, while ``1`` and ``"1"``, or an object and a list of it, differ."""
         if depth > MAX_DEPTH:
             raise RecursionError("nested too deeply")
-        digest, children, attrs = hashlib.blake2b(digest_size=16), [], {}
-        places = [(k, 0, value[k]) for k in sorted(value)] if isinstance(value, dict) else [("", i, x) for i, x in enumerate(value)]
-        digest.update(b"{" if isinstance(value, dict) else b"[")
-        for field, ordinal, x in places:
-            name = field.encode("utf-8", "surrogatepass")
+        digest, children, attrs = hashlib.blake2b(b"{", digest_size=16), [], {}
+        for field in sorted(value):
+            x, name = value[field], field.encode()
             digest.update(len(name).to_bytes(4, "big") + name)
-            if isinstance(x, (dict, list)):
-                child = self.add(x, depth + 1)
-                digest.update(b"#" + child)
-                children.append((field, ordinal, child))
+            if isinstance(x, dict):
+                children.append((field, 0, self.add(x, depth + 1)))
+                digest.update(b"#" + children[-1][2])
+            elif isinstance(x, list) and any(isinstance(e, (dict, list)) for e in x):
+                digest.update(b"[" + len(x).to_bytes(4, "big"))
+                for i, e in enumerate(x):
+                    children.append((field, i, self.add(e if isinstance(e, dict) else {"": e}, depth + 1)))
+                    digest.update(b"#" + children[-1][2])
             else:
                 body = json.dumps(x).encode()
                 digest.update(b"=" + len(body).to_bytes(4, "big") + body)
-                attrs[field if isinstance(value, dict) else str(ordinal)] = _text(x)
+                attrs[field] = _text(x)
         me = digest.digest()
         if me not in self.seen:
             self.seen.add(me)
-            self.rows.append(("node", None, me, None, "{}" if isinstance(value, dict) else "[]", None, list(attrs.items())))
+            self.rows.append(("node", None, me, None, None, None, list(attrs.items())))
             self.rows.extend(("bridge", None, c, me, f, o, None) for f, o, c in children)
         return me
 
@@ -94,7 +97,7 @@ def decompose(batches: Iterator[pa.RecordBatch], envelope: tuple[str, ...]) -> I
             try:
                 found = [_clean(x) for x in unwrap(json.loads(payload), envelope)] if payload else []
                 for i, x in enumerate(found):
-                    if isinstance(x, (dict, list)):
+                    if isinstance(x, dict):
                         store.rows.append(("root", record, store.add(x), None, None, i, None))
             except (ValueError, RecursionError):
                 continue
@@ -112,33 +115,19 @@ def _emit(store: Merkle) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Decomposed:
-    """``roots``: record_id, ordinal, id. ``nodes``: id, attrs, is_list; once each. ``bridges``: parent, field, ordinal,
-    id; once per distinct parent and place."""
+    """``roots``: record_id, ordinal, id. ``nodes``: id, attrs; once each. ``bridges``: parent, field, ordinal, id; once
+    for each place in each distinct parent."""
 
     roots: DataFrame
     nodes: DataFrame
     bridges: DataFrame
 
-    def step(self, start: DataFrame, at: str, field: Column | str, into: str) -> DataFrame:
-        """From the parts in column ``at`` down a field to those in ``into``; a list there is entered, so that one
-        object and a list of one read the same. Adds ``<into>_ordinal``."""
-        down = self.bridges.where(F.col("field") == field if isinstance(field, str) else field).select(F.col("parent").alias(at), F.col("id").alias("_c"))
-        here = start.join(down, at)
-        inner = self.bridges.where("field = ''").select(F.col("parent").alias("_c"), F.col("ordinal").alias("_o"), F.col("id").alias("_e"))
-        lists = self.nodes.where("is_list").select(F.col("id").alias("_c"), F.lit(True).alias("_l"))
-        opened = here.join(lists, "_c", "left").join(inner, "_c", "left")
-        return (
-            opened.where("_l is null or _e is not null")
-            .withColumn(into, F.coalesce("_e", "_c")).withColumn(f"{into}_ordinal", F.coalesce("_o", F.lit(0)))
-            .drop("_c", "_o", "_e", "_l")
-        )
-
-    def attrs(self, start: DataFrame, at: str, into: str) -> DataFrame:
-        """Adds the scalars of the parts in column ``at`` as a map."""
-        return start.join(self.nodes.select(F.col("id").alias(at), F.col("attrs").alias(into)), at)
+    def down(self, at: str, into: str, *fields: str) -> DataFrame:
+        """Bridges of the given fields, as ``at, <at>_field, into, <into>_ordinal``."""
+        return self.bridges.where(F.col("field").isin(*fields)).select(F.col("parent").alias(at), F.col("field").alias(f"{at}_field"), F.col("id").alias(into), F.col("ordinal").alias(f"{into}_ordinal"))
 
     def occurrences(self) -> DataFrame:
-        """How often each top-level part occurs: ``id, records``."""
+        """How often each top-level object occurs: ``id, records``."""
         return self.roots.groupBy("id").agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -147,46 +136,41 @@ def merkle_tables(df: DataFrame, record_id: str, payload: str, envelope: tuple[s
     folder and the three tables read from there. Rows with a null id or payload give nothing; repeated rows give
     repeated roots over the same nodes."""
     source = df.select(F.col(record_id).cast("long").alias("record_id"), F.col(payload).cast("string").alias("payload")).where("record_id is not null and payload is not null")
+    least = 2 * cores(df.sparkSession)
+    if source.rdd.getNumPartitions() < least:
+        source = source.repartition(least)
     rows = cut(source.mapInArrow(lambda it: decompose(it, envelope), ROWS))
     return Decomposed(
         rows.where("kind = 'root'").select("record_id", "ordinal", "id"),
-        cut(rows.where("kind = 'node'").groupBy("id").agg(F.first("attrs").alias("attrs"), F.first(F.col("field") == "[]").alias("is_list"))),
+        cut(rows.where("kind = 'node'").groupBy("id").agg(F.first("attrs").alias("attrs"))),
         cut(rows.where("kind = 'bridge'").groupBy("parent", "field", "ordinal").agg(F.first("id").alias("id"))),
     )
 
 
 def match_children(parts: Decomposed) -> DataFrame:
     """``payload_id, child_table, parent_key, child_key``, distinct: the lineup, player, team_stat and player_stat rows
-    of match payloads. The walk runs over distinct parts; payloads come in by their roots at the end."""
-    key = lambda attrs: F.coalesce(F.col(attrs)["id"], F.col(attrs)["name"])
-    matches = parts.roots.select(F.col("id").alias("m")).distinct()
-    sections = parts.bridges.where(F.col("field").isin("lineups", "players", "statistics")).select(F.col("parent").alias("m"), "field", F.col("id").alias("c"))
-    inner = parts.bridges.where("field = ''").select(F.col("parent").alias("c"), F.col("id").alias("x"))
-    placed = cut(
-        matches.join(sections, "m").join(inner, "c", "left").join(parts.nodes.where("is_list").select(F.col("id").alias("c"), "is_list"), "c", "left")
-        .where("is_list is null or x is not null").select("m", "field", F.coalesce("x", "c").alias("e")).distinct()
-    )
-    distinct_entries = placed.select("field", "e").distinct()
-    teams = parts.attrs(parts.step(distinct_entries.select("e").distinct(), "e", "team", "t"), "t", "a").select("e", key("a").alias("team"))
-    people = lambda at, fields: parts.attrs(parts.step(parts.step(at, "e", fields, "s"), "s", "player", "p"), "p", "a").select("e", "s", key("a").alias("person"))
-    section = lambda name: distinct_entries.where(F.col("field") == name).select("e").join(teams, "e")
-    lineup = people(section("lineups"), F.col("field").isin("startXI", "substitutes")).join(teams, "e").select(F.lit("lineups").alias("field"), "e", F.lit("lineup").alias("child_table"), F.col("team").alias("parent_key"), F.col("person").alias("child_key"))
-    squad = cut(people(section("players"), "players"))
-    player = squad.join(teams, "e").select(F.lit("players").alias("field"), "e", F.lit("player").alias("child_table"), F.col("team").alias("parent_key"), F.col("person").alias("child_key"))
+    of match payloads. The walk runs over distinct objects; payloads come in by their roots at the end."""
     filled = lambda attrs: F.map_keys(F.map_filter(attrs, lambda _, v: v.isNotNull()))
-    groups = parts.step(squad.select("s").distinct(), "s", "statistics", "g").select("s", "g").distinct()
-    group_names = groups.join(parts.bridges.select(F.col("parent").alias("g"), "field"), "g").select("s", F.col("field").alias("name")).unionByName(
-        parts.attrs(groups, "g", "a").select("s", F.explode(filled("a")).alias("name"))
-    )
-    player_stat = squad.join(group_names, "s").select(F.lit("players").alias("field"), "e", F.lit("player_stat").alias("child_table"), F.col("person").alias("parent_key"), F.col("name").alias("child_key"))
-    stats = parts.attrs(parts.step(section("statistics").select("e").distinct(), "e", "statistics", "s"), "s", "a")
-    listed = F.when(F.col("a")["value"].isNotNull(), F.array(F.col("a")["type"])).otherwise(F.array().cast("array<string>"))
-    kinds = F.when(F.map_contains_key("a", F.lit("type")), listed).otherwise(filled("a"))
-    team_stat = stats.select("e", F.explode(kinds).alias("name")).join(teams, "e").select(F.lit("statistics").alias("field"), "e", F.lit("team_stat").alias("child_table"), F.col("team").alias("parent_key"), F.col("name").alias("child_key"))
-    found = lineup.unionByName(player).unionByName(player_stat).unionByName(team_stat).where("parent_key is not null and child_key is not null").distinct()
-    return (
-        parts.roots.select(F.col("record_id").alias("payload_id"), F.col("id").alias("m"))
-        .join(placed.join(found, ["field", "e"]).select("m", "child_table", "parent_key", "child_key").distinct(), "m")
-        .select("payload_id", "child_table", "parent_key", "child_key")
-        .distinct()
-    )
+    key = F.coalesce(F.col("attrs")["id"], F.col("attrs")["name"])
+    keyed = cut(parts.down("e", "k", "team", "player").join(parts.nodes.select(F.col("id").alias("k"), key.alias("key")), "k").where("key is not null").select("e", "e_field", "key"))
+    teams = keyed.where("e_field = 'team'").select("e", F.col("key").alias("parent_key"))
+    people = keyed.where("e_field = 'player'").select(F.col("e").alias("s"), F.col("key").alias("child_key"))
+    squads = cut(parts.down("e", "s", "startXI", "substitutes", "players").join(people, "s").join(teams, "e").select("e", "e_field", "s", "parent_key", "child_key").distinct())
+    in_players = F.col("e_field") == "players"
+    members = squads.select("e", F.when(in_players, "players").otherwise("lineups").alias("section"), F.when(in_players, "player").otherwise("lineup").alias("child_table"), "parent_key", "child_key")
+
+    stats = parts.down("o", "g", "statistics")
+    listed = F.when(F.col("attrs")["value"].isNotNull(), F.array(F.col("attrs")["type"])).otherwise(F.array().cast("array<string>"))
+    described = stats.select("o", "g").join(parts.nodes.select(F.col("id").alias("g"), "attrs"), "g")
+    team_stat = described.select(F.col("o").alias("e"), F.explode(F.when(F.map_contains_key("attrs", F.lit("type")), listed).otherwise(filled("attrs"))).alias("child_key")).join(teams, "e")
+    team_rows = team_stat.select("e", F.lit("statistics").alias("section"), F.lit("team_stat").alias("child_table"), "parent_key", "child_key")
+
+    slots = squads.where(in_players).select("s").distinct()
+    groups = stats.select(F.col("o").alias("s"), "g").join(slots, "s").distinct()
+    named = groups.join(parts.bridges.select(F.col("parent").alias("g"), F.col("field").alias("name")), "g").select("s", "name").unionByName(groups.join(parts.nodes.select(F.col("id").alias("g"), F.explode(filled("attrs")).alias("name")), "g").select("s", "name")).distinct()
+    stat_rows = squads.where(in_players).join(named, "s").select("e", F.lit("players").alias("section"), F.lit("player_stat").alias("child_table"), F.col("child_key").alias("parent_key"), F.col("name").alias("child_key"))
+
+    children = members.unionByName(team_rows).unionByName(stat_rows).where("child_key is not null").distinct()
+    sections = parts.down("id", "e", "lineups", "players", "statistics").select("id", F.col("id_field").alias("section"), "e")
+    per_match = parts.roots.select("id").distinct().join(sections, "id").join(children, ["section", "e"]).select("id", "child_table", "parent_key", "child_key").distinct()
+    return parts.roots.select(F.col("record_id").alias("payload_id"), "id").distinct().join(per_match, "id").select("payload_id", "child_table", "parent_key", "child_key").distinct()
