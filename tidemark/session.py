@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: set[str] = set()
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
     """A local session with the settings the engine is tested under."""
@@ -43,11 +47,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there, so that later stages neither repeat
-    its work nor depend on one executor's disk."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may have ended before
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table in the shared checkpoint folder and reads it from there, so that later stages neither
+    repeat its work nor depend on one executor's disk, read only the columns they need, and are planned with its true
+    size. The tables of a session are removed at its end."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cores(spark: SparkSession) -> int:
