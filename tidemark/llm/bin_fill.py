@@ -40,12 +40,15 @@ def encoding(path: str):
 
 
 def count_tokens(text: str, path: str, step: int = 200_000) -> int:
-    """Tokens of a text; a very long one is encoded in steps that end before a blank, so that steps add up."""
+    """Tokens of a text; a very long one is encoded in steps that end before a single blank, so that steps add up. A
+    step without one ends where it must."""
     e, n, at = encoding(path), 0, 0
     text = text.encode("utf-8", "replace").decode()
     while len(text) - at > step:
         end = text.rfind(" ", at + 1, at + step)
-        if end <= at or text[end - 1].isspace():
+        while end > at and (text[end - 1].isspace() or text[end + 1].isspace()):
+            end = text.rfind(" ", at + 1, end)
+        if end <= at:
             end = at + step
         n += len(e.encode_ordinary(text[at:end]))
         at = end
