@@ -22,11 +22,14 @@ from tidemark.session import cores, cut
 ROWS = "kind string, record_id long, id binary, parent binary, field string, ordinal int, attrs map<string,string>"
 ARROW = pa.schema([("kind", pa.string()), ("record_id", pa.int64()), ("id", pa.binary()), ("parent", pa.binary()), ("field", pa.string()), ("ordinal", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string()))])
 MAX_DEPTH = 200
+TAGS = {type(None): b"0", bool: b"?", int: b"=", float: b".", str: b"s", list: b"]"}
 
 
 def _text(value: object) -> str | None:
     """A scalar as text; true, false, numbers and lists of scalars as in JSON."""
-    return value if isinstance(value, str) or value is None else json.dumps(value)
+    if value is None or type(value) is str:
+        return value
+    return str(value) if type(value) is int else json.dumps(value)
 
 
 def unwrap(value: object, envelope: tuple[str, ...]) -> list[object]:
@@ -60,15 +63,16 @@ class Merkle:
             if isinstance(x, dict):
                 children.append((field, 0, self.add(x, depth + 1)))
                 digest.update(b"#" + children[-1][2])
-            elif isinstance(x, list) and any(isinstance(e, (dict, list)) for e in x):
+            elif isinstance(x, list) and any(type(e) in (dict, list) for e in x):
                 digest.update(b"[" + len(x).to_bytes(4, "big"))
                 for i, e in enumerate(x):
                     children.append((field, i, self.add(e if isinstance(e, dict) else {"": e}, depth + 1)))
                     digest.update(b"#" + children[-1][2])
             else:
-                body = json.dumps(x).encode()
-                digest.update(b"=" + len(body).to_bytes(4, "big") + body)
-                attrs[field] = _text(x)
+                text = _text(x)
+                body = b"" if text is None else text.encode()
+                digest.update(TAGS[type(x)] + len(body).to_bytes(4, "big") + body)
+                attrs[field] = text
         me = digest.digest()
         if me not in self.seen:
             self.seen.add(me)
@@ -95,7 +99,9 @@ def decompose(batches: Iterator[pa.RecordBatch], envelope: tuple[str, ...]) -> I
         store = Merkle()
         for record, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             try:
-                found = [_clean(x) for x in unwrap(json.loads(payload), envelope)] if payload else []
+                found = unwrap(json.loads(payload), envelope) if payload else []
+                if payload and "\\ud" in payload.lower():
+                    found = [_clean(x) for x in found]
                 for i, x in enumerate(found):
                     if isinstance(x, dict):
                         store.rows.append(("root", record, store.add(x), None, None, i, None))
