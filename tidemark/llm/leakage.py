@@ -34,6 +34,7 @@ GRAM = 7
 BLOCK = 16
 MISS = 2.0
 EDGE = 2
+SHARE, EDGE_SHARE = 0.5, 0.85
 
 
 def plain(text: str) -> str:
@@ -170,12 +171,14 @@ class Index:
 
 @dataclass(frozen=True)
 class Verdict:
-    """``words`` of the item; of its best passage the ``first`` word, its ``length`` and the words ``held``."""
+    """``words`` of the item; of its best passage the ``first`` word, its ``length``, the words ``held`` and their
+    ``share`` of the squared word weights, which is low where only what many items have in common was held."""
 
     words: int
     first: int
     length: int
     held: int
+    share: float
     answer: bool
 
 
@@ -189,7 +192,7 @@ def verify(item: Item, codes: np.ndarray, hashes: np.ndarray) -> Verdict:
             p.append(at)
             q.append(place)
     if not p:
-        return Verdict(0, 0, 0, 0, False)
+        return Verdict(0, 0, 0, 0, 0.0, False)
     p, q = np.array(p), np.array(q)
     order = np.lexsort((p, q - p))
     p, q = p[order], q[order]
@@ -219,7 +222,9 @@ def verify(item: Item, codes: np.ndarray, hashes: np.ndarray) -> Verdict:
     low = np.minimum.accumulate(total)
     last = int(np.argmax(total - low))
     first = int(np.argmin(total[: last + 1]))
-    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), bool(item.answer) and item.answer in "".join(map(chr, codes)))
+    squares = item.weight[first:last] ** 2
+    share = float(squares[inside[first:last]].sum() / squares.sum()) if last > first else 0.0
+    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), share, bool(item.answer) and item.answer in "".join(map(chr, codes)))
 
 
 def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float, least_words: int) -> list[tuple[int, int, int, int, bool]]:
@@ -253,7 +258,7 @@ def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float,
         for lo, hi in spans:
             v = verify(item, codes[lo : hi + GRAM - 1], hashes[lo:hi])
             best = v if best is None or v.length > best.length else best
-        if best and best.length >= min(least_words, best.words - EDGE):
+        if best and best.share >= SHARE and best.length + (EDGE if best.share >= EDGE_SHARE else 0) >= min(least_words, best.words):
             out.append((item.item_id, best.first, best.length, best.held, best.answer))
     return out
 
@@ -286,8 +291,8 @@ def leaked_items(
 
     Every whole text is searched in passages of ``passage`` characters at half that distance, against all items. The
     items are indexed in blocks of about ``block_chars`` characters; one index is broadcast at a time and bounded by
-    that, and each further block is another pass over the documents. A passage counts with up to two words less where
-    its edge was edited. Null or empty texts hold nothing; items without seven letters or digits can't be found;
+    that, and each further block is another pass over the documents. A passage counts with up to two words less, as its edges may be
+    edited, where most of its rarer words are held, and not at all where half of them aren't. Null or empty texts hold nothing; items without seven letters or digits can't be found;
     repeated rows of an item are one; repeated documents each get their rows."""
     spark = docs.sparkSession
     told = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"), F.col(item_answer).alias("answer")).where("item is not null and text is not null").dropDuplicates(["item", "text"])
