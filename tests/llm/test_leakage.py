@@ -52,6 +52,17 @@ def test_short_quotations_and_other_texts_are_no_case():
     assert found(noise) == found("") == found(None) == set()
 
 
+@pytest.mark.parametrize("edited", [(1, 23), (2, 22), (3, 21), (0, 2, 22), (1, 12, 22)])
+def test_passages_of_the_least_length_with_edited_words_near_their_edges(edited):
+    noise = text(999, 200)
+    for i in (3, 5, 8, 11):
+        for new in (lambda x: "quatsch", lambda x: "", lambda x: x + " quatsch"):
+            told = [new(x) if n in edited else x for n, x in enumerate(words(i)[20:45])]
+            assert found(f"{noise} {' '.join(told)} {noise}") == {i}
+        told = ["quatsch" if n in edited else x for n, x in enumerate(words(i)[20:38])]
+        assert found(f"{noise} {' '.join(told)} {noise}") == set()
+
+
 def test_wand_finds_what_full_scoring_finds():
     index = Index.build(ITEMS)
     r = random.Random(4)

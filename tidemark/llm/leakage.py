@@ -35,6 +35,10 @@ BLOCK = 16
 MISS = 2.0
 EDGE = 2
 SHARE, EDGE_SHARE = 0.5, 0.85
+#: An untrimmed chain's least share of the squared word weights and of the words.
+CHAIN_SHARE, CHAIN_HELD = 0.6, 0.75
+#: Edited words that an edge may go beyond, and letters that may stand in their place.
+SKIP, SLACK = 2, 12
 
 
 def plain(text: str) -> str:
@@ -172,7 +176,8 @@ class Index:
 @dataclass(frozen=True)
 class Verdict:
     """``words`` of the item; of its best passage the ``first`` word, its ``length``, the words ``held`` and their
-    ``share`` of the squared word weights, which is low where only what many items have in common was held."""
+    ``share`` of the squared word weights, which is low where only what many items have in common was held. ``whole``:
+    the passage isn't trimmed, edited words near its edges count."""
 
     words: int
     first: int
@@ -180,19 +185,47 @@ class Verdict:
     held: int
     share: float
     answer: bool
+    whole: bool = False
+
+    def passes(self, least_words: int) -> bool:
+        """Edges may be edited: where most of the rarer words are held, or those of a whole chain, two words less do."""
+        if self.whole:
+            return self.share >= CHAIN_SHARE and self.held >= CHAIN_HELD * self.length and self.length + EDGE >= min(least_words, self.words)
+        return self.share >= SHARE and self.length + (EDGE if self.share >= EDGE_SHARE else 0) >= min(least_words, self.words)
+
+
+def beyond(words: list[str], text: str) -> list[int]:
+    """Places of those first ``words`` that ``text`` begins with, in order, up to SKIP edited ones in a row. Short words
+    only count along with the next one, as they are found anywhere."""
+    found, at, pos = [], 0, 0
+    while at < len(words):
+        room = SLACK
+        for i in range(at, min(at + SKIP + 1, len(words))):
+            n = 1 if len(words[i]) >= 4 else 2
+            sought = "".join(words[i : i + n])
+            hit = text.find(sought, pos, pos + room + len(sought)) if len(sought) >= 4 else -1
+            if hit >= 0:
+                found += range(i, min(i + n, len(words)))
+                at, pos = i + n, hit + len(sought)
+                break
+            room += max(len(words[i]), SLACK)
+        else:
+            break
+    return found
 
 
-def verify(item: Item, codes: np.ndarray, hashes: np.ndarray) -> Verdict:
+def verify(item: Item, codes: np.ndarray, hashes: np.ndarray) -> list[Verdict]:
     """Chains the runs that a stretch of a document shares with the item, in order and with little between them, and
-    finds the item's passage that the chain holds. Words count by how few items use them, so what items merely share
-    with each other, or with texts built like them, makes no passage."""
+    finds the item's passage that the chain holds: trimmed to where it is held well, and whole, its edges followed
+    beyond edited words. Words count by how few items use them, so what items merely share with each other, or with
+    texts built like them, makes no passage."""
     p, q = [], []
     for at, g in enumerate(hashes.tolist()):
         for place in item.places.get(g, ()):
             p.append(at)
             q.append(place)
     if not p:
-        return Verdict(0, 0, 0, 0, 0.0, False)
+        return []
     p, q = np.array(p), np.array(q)
     order = np.lexsort((p, q - p))
     p, q = p[order], q[order]
@@ -211,20 +244,51 @@ def verify(item: Item, codes: np.ndarray, hashes: np.ndarray) -> Verdict:
             score[i] += gain[j]
             back[i] = j
     held = np.zeros(len(item.codes), bool)
-    i = int(np.argmax(score))
+    i = last = int(np.argmax(score))
     while i >= 0:
         held[rq[i] : rq[i] + rl[i]] = True
-        i = back[i]
+        first, i = i, back[i]
     sums = np.r_[0, np.cumsum(held)]
     inside = (sums[item.words[1:]] - sums[item.words[:-1]]) >= 0.75 * np.diff(item.words)
-    # the stretch of words with the greatest weight held, where a missing word takes back MISS times its own
+    answer = bool(item.answer) and item.answer in "".join(map(chr, codes))
+    return [trimmed(item, inside, answer), whole(item, inside, answer, codes, (rp[first], rq[first]), (rp[last] + rl[last], rq[last] + rl[last]))]
+
+
+def whole(item: Item, inside: np.ndarray, answer: bool, codes: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> Verdict:
+    """All words from the first to the last held one; ``start``, ``end``: of the chain, in the document and the item."""
+    inside = inside.copy()
+    if inside.any():
+        spelled = lambda c: "".join(map(chr, c))
+        # letters that a run shares by chance with an edited word may be the next word's
+        after, before = int(np.searchsorted(item.words, end[1], "right")) - 1, int(np.searchsorted(item.words, start[1])) - 1
+        lap_after, lap_before = int(end[1] - item.words[after]), int(item.words[before + 1] - start[1])
+        if after < len(inside) and inside[after]:
+            after, lap_after = after + 1, 0
+        if before >= 0 and inside[before]:
+            before, lap_before = before - 1, 0
+        words = [spelled(item.codes[item.words[n] : item.words[n + 1]]) for n in range(after, min(after + 12, len(inside)))]
+        for n in beyond(words, spelled(codes[end[0] - lap_after : end[0] + 200])):
+            inside[after + n] = True
+        words = [spelled(item.codes[item.words[n] : item.words[n + 1]][::-1]) for n in range(before, max(-1, before - 12), -1)]
+        for n in beyond(words, spelled(codes[max(0, start[0] - 200) : start[0] + lap_before][::-1])):
+            inside[before - n] = True
+    told = np.flatnonzero(inside)
+    if not len(told):
+        return Verdict(len(inside), 0, 0, 0, 0.0, answer, True)
+    first, last = int(told[0]), int(told[-1]) + 1
+    squares = item.weight[first:last] ** 2
+    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), float(squares[inside[first:last]].sum() / squares.sum()), answer, True)
+
+
+def trimmed(item: Item, inside: np.ndarray, answer: bool) -> Verdict:
+    """The stretch of words with the greatest weight held, where a missing word takes back MISS times its own."""
     total = np.r_[0.0, np.cumsum(np.where(inside, item.weight, -MISS * item.weight))]
     low = np.minimum.accumulate(total)
     last = int(np.argmax(total - low))
     first = int(np.argmin(total[: last + 1]))
     squares = item.weight[first:last] ** 2
     share = float(squares[inside[first:last]].sum() / squares.sum()) if last > first else 0.0
-    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), share, bool(item.answer) and item.answer in "".join(map(chr, codes)))
+    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), share, answer)
 
 
 def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float, least_words: int) -> list[tuple[int, int, int, int, bool]]:
@@ -256,9 +320,9 @@ def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float,
             else:
                 spans.append([lo, hi])
         for lo, hi in spans:
-            v = verify(item, codes[lo : hi + GRAM - 1], hashes[lo:hi])
-            best = v if best is None or v.length > best.length else best
-        if best and best.share >= SHARE and best.length + (EDGE if best.share >= EDGE_SHARE else 0) >= min(least_words, best.words):
+            for v in verify(item, codes[lo : hi + GRAM - 1], hashes[lo:hi]):
+                best = v if v.passes(least_words) and (best is None or v.length > best.length) else best
+        if best:
             out.append((item.item_id, best.first, best.length, best.held, best.answer))
     return out
 
@@ -292,7 +356,7 @@ def leaked_items(
     Every whole text is searched in passages of ``passage`` characters at half that distance, against all items. The
     items are indexed in blocks of about ``block_chars`` characters; one index is broadcast at a time and bounded by
     that, and each further block is another pass over the documents. A passage counts with up to two words less, as its edges may be
-    edited, where most of its rarer words are held, and not at all where half of them aren't. Null or empty texts hold nothing; items without seven letters or digits can't be found;
+    edited, where most of its rarer words are held, and not at all where half of them aren't, see :class:`Verdict`. Null or empty texts hold nothing; items without seven letters or digits can't be found;
     repeated rows of an item are one; repeated documents each get their rows."""
     spark = docs.sparkSession
     told = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"), F.col(item_answer).alias("answer")).where("item is not null and text is not null").dropDuplicates(["item", "text"])
