@@ -63,6 +63,17 @@ def test_passages_of_the_least_length_with_edited_words_near_their_edges(edited)
         assert found(f"{noise} {' '.join(told)} {noise}") == set()
 
 
+@pytest.mark.parametrize("between", [10, 400])
+def test_a_passage_beside_a_longer_stretch_of_shared_sentences(between):
+    r, frame = random.Random(7), text(500, 60).split()
+    rare = lambda: "".join(r.choice("bcdfglmnprstvz") + r.choice("aeiou") for _ in range(4))
+    filled = lambda: " ".join(rare() if n % 6 == 5 else w for n, w in enumerate(frame))
+    items = [(i, f"{filled()} {' '.join(rare() for _ in range(30))}", "") for i in range(30)]
+    own = " ".join(items[4][1].split()[62:88])
+    doc = f"{text(999, 100)} {own} {text(998, between)} {filled()} {text(997, 100)}"
+    assert {x[0] for x in leaks_of(doc, Index.build(items), **OPTIONS)} == {4}
+
+
 def test_wand_finds_what_full_scoring_finds():
     index = Index.build(ITEMS)
     r = random.Random(4)

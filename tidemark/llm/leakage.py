@@ -214,9 +214,9 @@ def beyond(words: list[str], text: str) -> list[int]:
     return found
 
 
-def verify(item: Item, codes: np.ndarray, hashes: np.ndarray) -> list[Verdict]:
+def verify(item: Item, codes: np.ndarray, hashes: np.ndarray, least_words: int) -> list[Verdict]:
     """Chains the runs that a stretch of a document shares with the item, in order and with little between them, and
-    finds the item's passage that the chain holds: trimmed to where it is held well, and whole, its edges followed
+    finds the item's passage that each chain holds, the best chain first and then those of the runs left: trimmed to where it is held well, and whole, its edges followed
     beyond edited words. Words count by how few items use them, so what items merely share with each other, or with
     texts built like them, makes no passage."""
     p, q = [], []
@@ -243,15 +243,25 @@ def verify(item: Item, codes: np.ndarray, hashes: np.ndarray) -> list[Verdict]:
         if gain[j] > 0:
             score[i] += gain[j]
             back[i] = j
-    held = np.zeros(len(item.codes), bool)
-    i = last = int(np.argmax(score))
-    while i >= 0:
-        held[rq[i] : rq[i] + rl[i]] = True
-        first, i = i, back[i]
-    sums = np.r_[0, np.cumsum(held)]
-    inside = (sums[item.words[1:]] - sums[item.words[:-1]]) >= 0.75 * np.diff(item.words)
     answer = bool(item.answer) and item.answer in "".join(map(chr, codes))
-    return [trimmed(item, inside, answer), whole(item, inside, answer, codes, (rp[first], rq[first]), (rp[last] + rl[last], rq[last] + rl[last]))]
+    out, used = [], np.zeros(len(runs), bool)
+    while not used.all():
+        i = last = int(np.argmax(np.where(used, -1.0, score)))
+        chain = []
+        while i >= 0 and not used[i]:
+            chain.append(i)
+            i = back[i]
+        used[chain] = True
+        first = chain[-1]
+        if 2 * (np.searchsorted(item.words, rq[last] + rl[last]) - np.searchsorted(item.words, rq[first], "right") + 1) < min(least_words, len(item.weight)):
+            continue  # too few words for what may lie beyond its ends to make it a passage
+        held = np.zeros(len(item.codes), bool)
+        for i in chain:
+            held[rq[i] : rq[i] + rl[i]] = True
+        sums = np.r_[0, np.cumsum(held)]
+        inside = (sums[item.words[1:]] - sums[item.words[:-1]]) >= 0.75 * np.diff(item.words)
+        out += [trimmed(item, inside, answer), whole(item, inside, answer, codes, (rp[first], rq[first]), (rp[last] + rl[last], rq[last] + rl[last]))]
+    return out
 
 
 def whole(item: Item, inside: np.ndarray, answer: bool, codes: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> Verdict:
@@ -320,7 +330,7 @@ def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float,
             else:
                 spans.append([lo, hi])
         for lo, hi in spans:
-            for v in verify(item, codes[lo : hi + GRAM - 1], hashes[lo:hi]):
+            for v in verify(item, codes[lo : hi + GRAM - 1], hashes[lo:hi], least_words):
                 best = v if v.passes(least_words) and (best is None or v.length > best.length) else best
         if best:
             out.append((item.item_id, best.first, best.length, best.held, best.answer))
