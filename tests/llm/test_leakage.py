@@ -74,6 +74,24 @@ def test_a_passage_beside_a_longer_stretch_of_shared_sentences(between):
     assert {x[0] for x in leaks_of(doc, Index.build(items), **OPTIONS)} == {4}
 
 
+@pytest.mark.parametrize("items", [ITEMS[3:4], ITEMS[3:5], [(i, ITEMS[3][1], "") for i in range(100)] + ITEMS[4:9]])
+def test_small_and_skewed_indexes_find_passages(items):
+    noise, wanted = text(999, 200), {i for i, t, _ in items if t == ITEMS[3][1]}
+    for doc in (" ".join(words(3)[20:45]), " ".join("quatsch" if n in (8, 17) else w for n, w in enumerate(words(3)[20:45]))):
+        got = [x[0] for x in leaks_of(f"{noise} {doc} {noise}", Index.build(items), **OPTIONS)]
+        assert set(got) == wanted and len(got) == len(wanted)
+    assert leaks_of(noise, Index.build(items), **OPTIONS) == []
+
+
+def test_blocks_find_what_one_index_finds(spark):
+    noise = text(999, 60)
+    docs = spark.createDataFrame([(i, f"{noise} {' '.join(words(i)[10:36])} {noise}") for i in range(8)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS[:8], "item_id long, text string, answer string")
+    for block in (8_000_000, 600):
+        got = leaked_items(docs, items, block_chars=block, doc_id="doc_id", text="text", item_id="item_id", item_text="text", item_answer="answer")
+        assert sorted((r.doc, r.item) for r in got.collect()) == [(i, i) for i in range(8)]
+
+
 def test_wand_finds_what_full_scoring_finds():
     index = Index.build(ITEMS)
     r = random.Random(4)

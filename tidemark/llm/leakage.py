@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import cores
+from tidemark.session import cores, cut
 
 TAG = re.compile(r"<[A-Za-z/!?][^<>]{0,400}>")
 #: Letters that look like Latin ones, and letters that NFKD doesn't take apart: fixed values.
@@ -37,6 +37,8 @@ EDGE = 2
 SHARE, EDGE_SHARE = 0.5, 0.85
 #: An untrimmed chain's least share of the squared word weights and of the words.
 CHAIN_SHARE, CHAIN_HELD = 0.6, 0.75
+#: The score that any unedited passage of the least length has at least: three times the threshold.
+LEVEL = 300.0
 #: Edited words that an edge may go beyond, and letters that may stand in their place.
 SKIP, SLACK = 2, 12
 
@@ -81,15 +83,30 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Item:
-    item_id: int
+    """A text and its ``owners``: the ids that have it, with their answers."""
+
+    owners: list[tuple[int, str]]
     codes: np.ndarray
     grams: np.ndarray
     words: np.ndarray
     weight: np.ndarray
-    answer: str
     places: dict[int, list[int]] = field(default_factory=dict)
 
 
+def _least_score(item: Item, scores: list[float], least_words: int) -> float:
+    """The least score of the distinct grams in any passage of so many words, or in the whole of a shorter item."""
+    first: dict[int, int] = {}
+    new = np.zeros(len(scores))
+    for q, g in enumerate(item.grams.tolist()):  # a gram that was there within the passage's usual length is no new one
+        new[q] = scores[q] if q - first.get(g, -(10**9)) > len(item.codes) * least_words // max(1, len(item.weight)) else 0.0
+        first[g] = q
+    sums = np.r_[0.0, np.cumsum(new)]
+    n = min(least_words, len(item.weight))
+    starts, ends = item.words[: len(item.weight) - n + 1], item.words[n:]
+    full = [sums[max(a, min(b - GRAM + 1, len(scores)))] - sums[a] for a, b in zip(np.minimum(starts, len(scores)).tolist(), ends.tolist(), strict=True)]
+    return float(min((x for x in full if x > 0), default=sums[-1]))
+
+
 @dataclass
 class Index:
     """``terms``: sorted gram hashes. Of term t, ``docs[t]``: item numbers in order, ``impact[t]``: their BM25 impacts,
@@ -103,14 +120,22 @@ class Index:
     top: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str | None, str | None]], k1: float = 1.2, b: float = 0.75) -> Index:
-        items, told = [], [re.findall(r"[^\W_]+", plain(text or "")) for _, text, _ in rows]
-        spread = Counter(w for words in told for w in set(words))
-        for (item_id, text, answer), words in zip(rows, told, strict=True):
+    def build(cls, rows: list[tuple[int, str | None, str | None]], k1: float = 1.2, b: float = 0.75, *, least_words: int = 25, total: int | None = None, common: dict[str | int, int] | None = None) -> Index:
+        """Equal texts are one item. Of a part of the items, ``total`` is the number of all texts and ``common`` has the
+        texts of those words and grams that more than one has. Impacts of items whose passages of ``least_words`` words
+        would score less than LEVEL are raised to it, so that a threshold means the same in any index."""
+        owners: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        for item_id, text, answer in rows:
+            owners[text or ""].append((item_id, "".join(map(chr, stream(answer)))))
+        items, told = [], {text: re.findall(r"[^\W_]+", plain(text)) for text in owners}
+        spread = Counter(w for words in told.values() for w in set(words))
+        total = total or len(owners)
+        often = common or {}
+        for text, words in told.items():
             codes = stream(text)
             if len(codes) >= GRAM:
-                weight = np.array([1 + np.log(len(rows) / spread[w]) for w in words])
-                items.append(Item(item_id, codes, grams(codes), np.cumsum([0] + [len(w) for w in words]), weight, "".join(map(chr, stream(answer)))))
+                weight = np.array([1 + np.log(total / often.get(w, spread[w])) for w in words])
+                items.append(Item(owners[text], codes, grams(codes), np.cumsum([0] + [len(w) for w in words]), weight))
         postings: dict[int, dict[int, int]] = defaultdict(dict)
         for n, item in enumerate(items):
             for q, g in enumerate(item.grams.tolist()):
@@ -118,12 +143,17 @@ class Index:
                 postings[g][n] = postings[g].get(n, 0) + 1
         mean = np.mean([len(x.grams) for x in items]) if items else 1.0
         terms = np.array(sorted(postings), np.uint64)
+        scored: dict[int, dict[int, float]] = {}
+        for g in terms.tolist():
+            texts = often.get(g, len(postings[g]))
+            idf = np.log(1 + (max(total, texts) - texts + 0.5) / (texts + 0.5))
+            scored[g] = {n: float(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(items[n].grams) / mean))) for n, tf in postings[g].items()}
+        raised = [max(1.0, LEVEL / max(1e-9, _least_score(item, [scored[g][n] for g in item.grams.tolist()], least_words))) for n, item in enumerate(items)]
         docs, impact, block_max = [], [], []
         for g in terms.tolist():
-            found = sorted(postings[g].items())
-            idf = np.log(1 + (len(items) - len(found) + 0.5) / (len(found) + 0.5))
+            found = sorted(scored[g].items())
             docs.append([n for n, _ in found])
-            impact.append([float(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(items[n].grams) / mean))) for n, tf in found])
+            impact.append([raised[n] * x for n, x in found])
             block_max.append([max(impact[-1][i : i + BLOCK]) for i in range(0, len(found), BLOCK)])
         return cls(items, terms, docs, impact, block_max, np.array([max(x) for x in impact]) if impact else np.empty(0))
 
@@ -175,7 +205,7 @@ class Index:
 
 @dataclass(frozen=True)
 class Verdict:
-    """``words`` of the item; of its best passage the ``first`` word, its ``length``, the words ``held`` and their
+    """``words`` of the item, the owners whose ``answers`` the stretch has; of its best passage the ``first`` word, its ``length``, the words ``held`` and their
     ``share`` of the squared word weights, which is low where only what many items have in common was held. ``whole``:
     the passage isn't trimmed, edited words near its edges count."""
 
@@ -184,7 +214,7 @@ class Verdict:
     length: int
     held: int
     share: float
-    answer: bool
+    answers: frozenset[int]
     whole: bool = False
 
     def passes(self, least_words: int) -> bool:
@@ -243,7 +273,8 @@ def verify(item: Item, codes: np.ndarray, hashes: np.ndarray, least_words: int)
         if gain[j] > 0:
             score[i] += gain[j]
             back[i] = j
-    answer = bool(item.answer) and item.answer in "".join(map(chr, codes))
+    told = "".join(map(chr, codes))
+    answers = frozenset(i for i, answer in item.owners if answer and answer in told)
     out, used = [], np.zeros(len(runs), bool)
     while not used.all():
         i = last = int(np.argmax(np.where(used, -1.0, score)))
@@ -260,11 +291,11 @@ def verify(item: Item, codes: np.ndarray, hashes: np.ndarray, least_words: int)
             held[rq[i] : rq[i] + rl[i]] = True
         sums = np.r_[0, np.cumsum(held)]
         inside = (sums[item.words[1:]] - sums[item.words[:-1]]) >= 0.75 * np.diff(item.words)
-        out += [trimmed(item, inside, answer), whole(item, inside, answer, codes, (rp[first], rq[first]), (rp[last] + rl[last], rq[last] + rl[last]))]
+        out += [trimmed(item, inside, answers), whole(item, inside, answers, codes, (rp[first], rq[first]), (rp[last] + rl[last], rq[last] + rl[last]))]
     return out
 
 
-def whole(item: Item, inside: np.ndarray, answer: bool, codes: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> Verdict:
+def whole(item: Item, inside: np.ndarray, answers: frozenset[int], codes: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> Verdict:
     """All words from the first to the last held one; ``start``, ``end``: of the chain, in the document and the item."""
     inside = inside.copy()
     if inside.any():
@@ -284,13 +315,13 @@ def whole(item: Item, inside: np.ndarray, answer: bool, codes: np.ndarray, start
             inside[before - n] = True
     told = np.flatnonzero(inside)
     if not len(told):
-        return Verdict(len(inside), 0, 0, 0, 0.0, answer, True)
+        return Verdict(len(inside), 0, 0, 0, 0.0, answers, True)
     first, last = int(told[0]), int(told[-1]) + 1
     squares = item.weight[first:last] ** 2
-    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), float(squares[inside[first:last]].sum() / squares.sum()), answer, True)
+    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), float(squares[inside[first:last]].sum() / squares.sum()), answers, True)
 
 
-def trimmed(item: Item, inside: np.ndarray, answer: bool) -> Verdict:
+def trimmed(item: Item, inside: np.ndarray, answers: frozenset[int]) -> Verdict:
     """The stretch of words with the greatest weight held, where a missing word takes back MISS times its own."""
     total = np.r_[0.0, np.cumsum(np.where(inside, item.weight, -MISS * item.weight))]
     low = np.minimum.accumulate(total)
@@ -298,7 +329,7 @@ def trimmed(item: Item, inside: np.ndarray, answer: bool) -> Verdict:
     first = int(np.argmin(total[: last + 1]))
     squares = item.weight[first:last] ** 2
     share = float(squares[inside[first:last]].sum() / squares.sum()) if last > first else 0.0
-    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), share, answer)
+    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), share, answers)
 
 
 def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float, least_words: int) -> list[tuple[int, int, int, int, bool]]:
@@ -333,7 +364,7 @@ def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float,
             for v in verify(item, codes[lo : hi + GRAM - 1], hashes[lo:hi], least_words):
                 best = v if v.passes(least_words) and (best is None or v.length > best.length) else best
         if best:
-            out.append((item.item_id, best.first, best.length, best.held, best.answer))
+            out.extend((i, best.first, best.length, best.held, i in best.answers) for i, _ in item.owners)
     return out
 
 
@@ -346,6 +377,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
+def _used(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of each text, and its grams as numbers after ``#``, each once."""
+    for frame in frames:
+        for text, block in zip(frame["text"], frame["block"], strict=True):
+            keys = [*set(re.findall(r"[^\W_]+", plain(text))), *(f"#{g}" for g in set(grams(stream(text)).tolist()))]
+            yield pd.DataFrame({"block": block, "key": pd.Series(keys, dtype=object)})
+
+
 def leaked_items(
     docs: DataFrame,
     items: DataFrame,
@@ -365,17 +404,24 @@ def leaked_items(
 
     Every whole text is searched in passages of ``passage`` characters at half that distance, against all items. The
     items are indexed in blocks of about ``block_chars`` characters; one index is broadcast at a time and bounded by
-    that, and each further block is another pass over the documents. A passage counts with up to two words less, as its edges may be
+    that, and each further block is another pass over the documents; how rare words and
+    grams are is counted over all items. A passage counts with up to two words less, as its edges may be
     edited, where most of its rarer words are held, and not at all where half of them aren't, see :class:`Verdict`. Null or empty texts hold nothing; items without seven letters or digits can't be found;
     repeated rows of an item are one; repeated documents each get their rows."""
     spark = docs.sparkSession
     told = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"), F.col(item_answer).alias("answer")).where("item is not null and text is not null").dropDuplicates(["item", "text"])
+    told = told.groupBy("text").agg(F.collect_list(F.struct("item", "answer")).alias("owners"))
     blocks = max(1, -(-int(told.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     source = spread(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null"))
+    placed = told.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    total = told.count() if blocks > 1 else None
+    used = cut(placed.mapInPandas(_used, "block long, key string")) if blocks > 1 else None
+    often = cut(used.groupBy("key").count().where("count > 1")) if blocks > 1 else None
     out = None
     for block in range(blocks):
-        rows = [tuple(r) for r in told.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()]
-        index = spark.sparkContext.broadcast(Index.build(sorted(rows, key=lambda r: (r[0], r[1]))))
+        rows = [(o.item, r.text, o.answer) for r in placed.where(F.col("block") == block).collect() for o in r.owners]
+        common = {(int(k[1:]) if k[0] == "#" else k): n for k, n in often.join(used.where(F.col("block") == block).select("key").distinct(), "key").collect()} if blocks > 1 else None
+        index = spark.sparkContext.broadcast(Index.build(sorted(rows, key=lambda r: (r[0], r[1])), least_words=least_words, total=total, common=common))
 
         def search(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for frame in frames:
