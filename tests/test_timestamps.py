@@ -65,6 +65,11 @@ def test_against_zoneinfo():
     assert got.tolist() == want
 
 
+def test_outer_blanks_of_any_length():
+    blanks = " " * 600
+    assert utc_micros(pd.Series([f"{blanks}2024-01-01T00:00:00Z", f"2024-01-01T00:00:00Z{blanks}", blanks, None]), pd.Series([None] * 4, dtype=object)).fillna(-1).tolist() == [1_704_067_200_000_000] * 2 + [-1] * 2
+
+
 def test_a_shape_is_compiled_once():
     assert parser_for("9999-99-99A99:99:99A") is parser_for("9999-99-99A99:99:99A")
     assert zone_table("Europe/Berlin") is zone_table("Europe/Berlin")

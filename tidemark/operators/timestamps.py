@@ -210,7 +210,7 @@ def utc_micros(texts: pd.Series, zones: pd.Series) -> pd.Series:
     """Instants of a batch; null where a text is null or names no existing date and time. A text without a zone is
     local to ``zones``, UTC where that is null or blank; an unknown zone there makes the text unusable."""
     values = texts.to_numpy(dtype=object, na_value=None)
-    cleaned = np.array([t.strip() if t is not None and len(t) <= 512 else "" for t in values], object)
+    cleaned = np.array([t if len(t) <= 512 else "" for t in ((t or "").strip() for t in values)], object)
     zone = np.array([(z or "").strip() or "UTC" for z in zones.to_numpy(dtype=object, na_value=None)], object)
     out = np.full(len(cleaned), MISSING, np.int64)
     code, shapes = pd.factorize(np.array([t.translate(SHAPE) for t in cleaned], object))
@@ -233,7 +233,8 @@ def to_utc_micros(text: Column | str, zone: Column | str) -> Column:
     """Microseconds since 1970 UTC of a timestamp text; see :func:`utc_micros`. Slashed and dotted dates are day
     first, two-digit years from 69 on are of the 1900s, digits beyond microseconds are cut, 10, 13 or 16 digits alone
     are seconds, milliseconds or microseconds. A written offset or zone overrules the row's zone, an offset overrules
-    a zone noted beside it. Texts of more than 512 characters name no time."""
+    a zone noted beside it. Texts of more than 512 characters between outer
+    blanks name no time."""
     return _utc_micros_udf(F.col(text) if isinstance(text, str) else text, F.col(zone) if isinstance(zone, str) else zone)
 
 
