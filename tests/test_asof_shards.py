@@ -20,10 +20,10 @@ def brute(events, versions, strict=True):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows", [3, 20, 10_000])
+@pytest.mark.parametrize("shard_rows", [3, 20, 10_000, None])
 @pytest.mark.parametrize("strict", [True, False])
 def test_against_brute_force(spark, shard_rows, strict):
-    r = random.Random(shard_rows)
+    r = random.Random(shard_rows or 0)
     team = lambda: r.choice(["hot", "hot", "hot", "x", "y", None])
     when = lambda: r.choice([None, *range(60)])
     events = [(i, team(), when(), 9) for i in range(150)]

@@ -1,6 +1,8 @@
 import json
 
-from tidemark.operators.nested import Merkle, match_children, merkle_tables
+import pytest
+
+from tidemark.operators.nested import Merkle, _deep, match_children, merkle_tables
 
 MATCH = {
     "lineups": [{"team": {"id": 1}, "startXI": [{"player": {"id": 10, "name": "A"}}, {"player": {"id": None, "name": "B"}}], "substitutes": None}],
@@ -41,3 +43,23 @@ def test_very_long_payload(spark):
     big = json.dumps({"players": {"team": {"id": 1}, "players": [{"player": {"id": i}} for i in range(60_000)]}})
     df = spark.createDataFrame([(1, big)], "payload_id long, payload string")
     assert match_children(merkle_tables(df, "payload_id", "payload")).count() == 60_000
+
+
+def test_any_depth(spark):
+    deep = json.dumps(MATCH)[:-1] + ', "venue": ' + '{"inside": [' * 6000 + '{"players": 1}' + "]}" * 6000 + "}"
+    cut_off = deep[:-1]
+    df = spark.createDataFrame([(1, deep), (2, cut_off), (3, "[" * 30_000 + "]" * 30_000)], "payload_id long, payload string")
+    parts = merkle_tables(df, "payload_id", "payload")
+    assert {tuple(r) for r in match_children(parts).collect()} == {(1, *w) for w in WANT}
+    assert parts.nodes.count() > 6000
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, null, true, {"b\\n": "\\u00e9\\ud83d\\ude00"}, [], {}], "c": ""}', "[]", " 3 ", '"x"', '{"a": 1, "a": 2}'])
+def test_own_parser_reads_what_the_usual_one_does(text):
+    assert _deep(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a" 1}', '{"a": 1,}', "[1 2]", "1 2", "{]", '{1: 2}', '["a', "]", '{"a":}', "[,1]", "nul"])
+def test_own_parser_refuses_what_the_usual_one_does(text):
+    with pytest.raises(ValueError):
+        _deep(text)

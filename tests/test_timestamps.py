@@ -80,3 +80,11 @@ def test_frame_with_clashing_columns_and_repeats(spark):
     got = [tuple(r) for r in normalised_instants(df, "id", "text", "zone", "t").collect()]
     assert got == [("t", 1, 1640995200000000)] * 2
     assert normalised_instants(df.where("1 = 0"), "id", "text", "zone", "t").count() == 0
+
+
+def test_any_length_and_any_year():
+    texts = pd.Series([" " * 3000 + "2024-05-01 12:00" + " " * 3000, "2024-05-01 12:00:00." + "1" * 700, "2150-07-01 12:00", "1850-01-01T00:00:00Z"])
+    got = utc_micros(texts, pd.Series(["Europe/Paris", "UTC", "Europe/Paris", "UTC"])).tolist()
+    want = [(2024, 5, 1, 10, 0), (2024, 5, 1, 12, 0), (2150, 7, 1, 10, 0), (1850, 1, 1, 0, 0)]
+    at = lambda w: (datetime(*w) - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    assert got == [at(want[0]), at(want[1]) + 111_111, at(want[2]), at(want[3])]

@@ -1,9 +1,10 @@
 """Attributes as known at event time, with hot entities sharded by time.
 
-An entity with more than ``shard_rows`` rows is cut into spans of equal length, so that each (entity, span) is a
-task's worth of rows. A span starts out not knowing what came before it; the last version of all earlier spans is
-therefore replicated into it as a carry-in, found from one row per (entity, span). After that every span is merged
-on its own and the result is the same as for an uncut entity.
+All rows make up ``SPREAD`` shards' worth for every shuffle partition. An entity with more rows than one shard is cut
+into spans of about as many rows each, at quantiles of its times, so that each (entity, span) is a small part of a
+task. A span starts out not knowing what came before it; the last version of all earlier spans is therefore replicated
+into it as a carry-in, found from one row per (entity, span). After that every span is merged on its own and the
+result is the same as for an uncut entity.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_SPREAD = 4
+SPREAD = 4
 
 
 def _micros(df: DataFrame, name: str) -> Column:
@@ -34,7 +35,7 @@ def known_before(
     version_id: str,
     version_kind: str,
     kinds: Sequence[str],
-    shard_rows: int = 200_000,
+    shard_rows: int | None = None,
     strict: bool = True,
 ) -> DataFrame:
     """For every event and kind, the id of the entity's latest version before the event.
@@ -43,7 +44,8 @@ def known_before(
     something was known. ``strict`` asks for versions before the event's time, else up to it. Of versions of the same
     time the smallest id counts. Rows with a null entity, time or id take no part: an event without a time or entity
     knows nothing, a version of unknown time is never known. Repeated events each get their rows. Other columns of
-    the inputs are ignored, so clashing names don't matter. Empty inputs give no rows."""
+    the inputs are ignored, so clashing names don't matter. Empty inputs give no rows. ``shard_rows`` is the size of a
+    shard, by default all rows divided by ``SPREAD`` times the shuffle partitions."""
     e = events.select(F.col(event_entity).alias("k"), _micros(events, event_time).alias("t"), F.col(event_id).alias("event_id")).where("k is not null and t is not null")
     v = (
         versions.select(F.col(version_entity).alias("k"), _micros(versions, version_time).alias("t"), F.col(version_kind).alias("kind"), F.col(version_id).alias("id"))
@@ -53,19 +55,25 @@ def known_before(
     )
     no_id = F.lit(None).cast(dict(v.dtypes)["id"])
     no_event = F.lit(None).cast(dict(e.dtypes)["event_id"])
-    # Entities beyond one shard: at most rows / shard_rows of them; AQE broadcasts them where they are few.
+    shards = SPREAD * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    times = e.select("k", "t").unionAll(v.select("k", "t"))
+    counts = times.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    # entities beyond one shard: with the default size fewer than ``shards``, and as few cuts in all of them together
+    size = counts.agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / shards)).cast("long").alias("size")) if shard_rows is None else None
+    large = (counts.crossJoin(F.broadcast(size)) if shard_rows is None else counts.withColumn("size", F.lit(shard_rows))).where("n > size").select("k", F.ceil(F.col("n") / F.col("size")).cast("int").alias("parts"))
+    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: F.get("at", F.floor(i * shards / F.col("parts")).cast("int"))))
     hot = (
-        e.select("k", "t").unionAll(v.select("k", "t")).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-        .where(F.col("n") > shard_rows)
-        .select("k", "t0", F.greatest(F.lit(1), F.floor((F.col("t1") - F.col("t0")) / (F.ceil(F.col("n") / shard_rows) * HOT_SPREAD))).cast("long").alias("width"))
+        times.join(F.broadcast(large), "k").groupBy("k", "parts").agg(F.percentile_approx("t", [i / shards for i in range(shards)], 20 * shards).alias("at"))
+        .select("k", cuts.alias("cuts"))
     )
+    hot = F.broadcast(hot) if shard_rows is None else hot
     late = 1 if strict else 0
     rows = (
         e.select("k", "t", F.lit(1 - late).alias("side"), "event_id", F.lit(None).cast("string").alias("kind"), no_id.alias("id"))
         .unionAll(v.select("k", "t", F.lit(late).alias("side"), no_event.alias("event_id"), "kind", "id"))
         .join(hot, "k", "left")
-        .withColumn("shard", F.coalesce(F.floor((F.col("t") - F.col("t0")) / F.col("width")), F.lit(0)).cast("long"))
-        .drop("t0", "width")
+        .withColumn("shard", F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda x: x <= F.col("t")))).otherwise(0))
+        .drop("cuts")
     )
     known = lambda x: F.when(F.col("kind") == x, F.struct("t", "id"))
     per_shard = rows.where(F.col("k").isNotNull()).join(hot.select("k"), "k", "left_semi").groupBy("k", "shard").agg(

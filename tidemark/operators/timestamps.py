@@ -47,11 +47,20 @@ class ZoneTable:
     until: np.ndarray
     offset: np.ndarray
     abbreviations: dict[str, int]
+    first: int
+    last: int
 
     def to_utc(self, wall: np.ndarray) -> np.ndarray:
-        return wall - self.offset[np.searchsorted(self.until, wall, side="right")]
+        """Wall times beyond the table's years are looked up one by one in the zone's rules."""
+        out = wall - self.offset[np.searchsorted(self.until, wall, side="right")]
+        beyond = np.flatnonzero((wall < self.first) | (wall >= self.last))
+        if len(beyond):
+            zone, day = zoneinfo.ZoneInfo(self.name), timedelta(microseconds=1)
+            out[beyond] = [w - int((datetime(1970, 1, 1) + w * day).replace(tzinfo=zone).utcoffset() / day) for w in wall[beyond].tolist()]
+        return out
 
 
+@functools.cache
 def zone_data_version() -> str:
     """Version of the zone data in use."""
     for root in zoneinfo.TZPATH:
@@ -92,7 +101,7 @@ def zone_table(name: str, first_year: int = 1900, last_year: int = 2100) -> Zone
         for m in (1, 7):
             t = datetime(y, m, 1, tzinfo=UTC).astimezone(zone)
             names[t.tzname() or ""] = int(t.utcoffset() / timedelta(minutes=1))
-    return ZoneTable(name, zone_data_version(), np.array(until, np.int64), np.array([int(o / timedelta(microseconds=1)) for o in offsets], np.int64), names)
+    return ZoneTable(name, zone_data_version(), np.array(until, np.int64), np.array([int(o / timedelta(microseconds=1)) for o in offsets], np.int64), names, (lo + 2 * 86400) * 1_000_000, (hi - 2 * 86400) * 1_000_000)
 
 
 def days_from_civil(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +135,12 @@ def _words(codes: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     return part.view(f"<U{span[1] - span[0]}").ravel()
 
 
-@functools.lru_cache(maxsize=65536)
 def parser_for(shape: str) -> Parser | None:
+    """:func:`compiled`, kept for shapes of usual length."""
+    return _kept(shape) if len(shape) <= 64 else compiled(shape)
+
+
+def compiled(shape: str) -> Parser | None:
     """The parser of a shape, or None where texts of this shape never name a date and time. It takes the code points,
     one row a text, and the row's zones, and gives microseconds, ``MISSING`` where a text names none."""
     if shape.strip("9") == "":
@@ -140,6 +153,9 @@ def parser_for(shape: str) -> Parser | None:
     return None
 
 
+_kept = functools.lru_cache(maxsize=65536)(compiled)
+
+
 def _parse(span: dict[str, tuple[int, int]], codes: np.ndarray, zones: np.ndarray) -> np.ndarray:
     def number(field: str, default: int = 0) -> np.ndarray:
         if field not in span:
@@ -210,7 +226,7 @@ def utc_micros(texts: pd.Series, zones: pd.Series) -> pd.Series:
     """Instants of a batch; null where a text is null or names no existing date and time. A text without a zone is
     local to ``zones``, UTC where that is null or blank; an unknown zone there makes the text unusable."""
     values = texts.to_numpy(dtype=object, na_value=None)
-    cleaned = np.array([t if len(t) <= 512 else "" for t in ((t or "").strip() for t in values)], object)
+    cleaned = np.array([(t or "").strip() for t in values], object)
     zone = np.array([(z or "").strip() or "UTC" for z in zones.to_numpy(dtype=object, na_value=None)], object)
     out = np.full(len(cleaned), MISSING, np.int64)
     code, shapes = pd.factorize(np.array([t.translate(SHAPE) for t in cleaned], object))
@@ -223,19 +239,24 @@ def utc_micros(texts: pd.Series, zones: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64").mask(out == MISSING)
 
 
-@F.pandas_udf(T.LongType())
-def _utc_micros_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, zones in batches:
-        yield utc_micros(texts, zones)
+def _utc_micros_udf(version: str) -> Callable[..., Column]:
+    @F.pandas_udf(T.LongType())
+    def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        if zone_data_version() != version:
+            raise RuntimeError(f"zone data {zone_data_version()} here, {version} on the driver")
+        for texts, zones in batches:
+            yield utc_micros(texts, zones)
+
+    return parsed
 
 
 def to_utc_micros(text: Column | str, zone: Column | str) -> Column:
     """Microseconds since 1970 UTC of a timestamp text; see :func:`utc_micros`. Slashed and dotted dates are day
     first, two-digit years from 69 on are of the 1900s, digits beyond microseconds are cut, 10, 13 or 16 digits alone
     are seconds, milliseconds or microseconds. A written offset or zone overrules the row's zone, an offset overrules
-    a zone noted beside it. Texts of more than 512 characters between outer
-    blanks name no time."""
-    return _utc_micros_udf(F.col(text) if isinstance(text, str) else text, F.col(zone) if isinstance(zone, str) else zone)
+    a zone noted beside it. A text may be of any length. A worker whose zone data is of another version than the
+    driver's fails, rather than giving other instants than the rest."""
+    return _utc_micros_udf(zone_data_version())(F.col(text) if isinstance(text, str) else text, F.col(zone) if isinstance(zone, str) else zone)
 
 
 def normalised_instants(df: DataFrame, row_id: str, text: str, zone: str, table_name: str) -> DataFrame:
