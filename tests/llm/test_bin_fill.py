@@ -37,7 +37,8 @@ def test_pack_places_everything_once_with_little_room_left():
 @needs_vocabulary
 def test_long_texts_count_like_whole_ones():
     text = " ".join(random.Random(3).choices(["goal", "Tor", "  ", "x1\n", "été", "🙂"], k=5000))
-    assert count_tokens(text, VOCABULARY, 1000) == len(encoding(VOCABULARY).encode_ordinary(text))
+    for long in (text, "a\n\n  b" * 2000, "x" * 5000, "7 " * 3000, "don't  we'll " * 900, "日本語テキスト" * 700):
+        assert count_tokens(long, VOCABULARY, 1000) == len(encoding(VOCABULARY).encode_ordinary(long))
 
 
 @needs_vocabulary

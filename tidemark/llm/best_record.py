@@ -14,39 +14,37 @@ def code_key(column: Column | str) -> Column:
 
 def candidate_values(rows: DataFrame, sources: DataFrame, *, group: str, value: tuple[str, ...], trust: str, recency: str, fill: str) -> DataFrame:
     """One row per (group, value) with ``n_rows``, the distinct canonical source codes of its rows, its latest recency
-    and the latest non-null ``fill``. Everything is aggregated before it is shuffled, so a hot group arrives as its few
-    distinct values; code sets are bounded by the table of sources. Rows in which a part of the value is null share
-    one row with null values."""
-    whole = rows.select(
-        F.col(group).alias("g"),
-        *[F.when(F.forall(F.array(*[F.col(v).isNotNull() for v in value]), lambda x: x), F.col(v)).alias(f"v{i}") for i, v in enumerate(value)],
-        F.col(trust).alias("codes"), F.col(recency).alias("at"), F.col(fill).alias("fill"),
-    ).where("g is not null")
-    keys = ["g", *[f"v{i}" for i in range(len(value))]]
-    totals = whole.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max("at").alias("at"),
-        F.max(F.when(F.col("fill").isNotNull(), F.struct(F.col("at").isNotNull().alias("known"), "at", "fill"))).alias("fill"),
-    )
+    and the latest non-null ``fill``. All of it is one aggregation with partial ones before its shuffle, so a hot group
+    arrives as its few distinct values; code sets are bounded by the table of sources. Rows in which a part of the
+    value is null share one row with null values."""
     canonical = sources.select(code_key("source_code").alias("code"), "source_code").where("code != ''").groupBy("code").agg(F.min("source_code").alias("source_code"))
-    codes = (
-        whole.select(*keys, F.explode(F.array_distinct(F.transform("codes", code_key))).alias("code")).where("code != ''").groupBy(*keys, "code").agg(F.lit(1).alias("_"))
-        .join(canonical, "code").groupBy(*keys).agg(F.sort_array(F.collect_set("source_code")).alias("codes"))
+    whole = F.forall(F.array(*[F.col(v).isNotNull() for v in value]), lambda x: x)
+    spelled = rows.where(F.col(group).isNotNull()).select(
+        F.col(group).alias("g"), *[F.when(whole, F.col(v)).alias(f"v{i}") for i, v in enumerate(value)], F.col(recency).alias("at"), F.col(fill).alias("fill"),
+        F.posexplode_outer(F.array_distinct(F.transform(trust, code_key))).alias("nth", "code"),
+    )
+    return spelled.join(canonical, "code", "left").groupBy("g", *[f"v{i}" for i in range(len(value))]).agg(
+        F.count_if(F.coalesce("nth", F.lit(0)) == 0).alias("n_rows"), F.max("at").alias("at"),
+        F.max(F.when(F.col("fill").isNotNull(), F.struct(F.col("at").isNotNull().alias("known"), "at", "fill"))).alias("fill"),
+        F.sort_array(F.collect_set("source_code")).alias("codes"),
     )
-    same = [totals[k].eqNullSafe(codes[k]) for k in keys[1:]]
-    return totals.join(codes, [totals["g"] == codes["g"], *same], "left").select(totals["*"], F.coalesce(codes["codes"], F.array().cast("array<string>")).alias("codes"))
 
 
-def agreed_exclusions(values: DataFrame, exclusions: DataFrame, *, group: str, observed: str) -> DataFrame:
-    """Groups whose set of non-null values equals, as a set, one of the listed ones: as many distinct values on both
-    sides, and each listed one found. A null list states nothing; a listed value with a null never agrees."""
+def fingerprints(*parts: Column) -> list[Column]:
+    """Two independent 64-bit hashes of a value."""
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (0, 1)]
+
+
+def listed_sets(exclusions: DataFrame, values: DataFrame, *, group: str, observed: str) -> DataFrame:
+    """``g, n, x0, x1``: size and fingerprint of each listed set of values; xor makes it independent of order. A null
+    list, or one with a value that isn't whole, describes no set."""
     parts = [c for c in values.columns if c[0] == "v" and c[1:].isdigit()]
-    item = next(f.dataType.elementType for f in exclusions.schema.fields if f.name == observed)
-    listed = exclusions.select(F.col(group).alias("g"), F.array_sort(F.array_distinct(F.col(observed))).alias("listed")).where("g is not null and listed is not null").distinct()
-    has = F.forall(F.array(*[F.col(p).isNotNull() for p in parts]), lambda x: x)
-    counts = values.groupBy("g").agg(F.count(F.when(has, 1)).alias("n"))
-    flat = listed.select("g", "listed", F.explode_outer("listed").alias("x")).select("g", "listed", *[F.col(f"x.{f.name}").alias(p) for f, p in zip(item.fields, parts, strict=True)])
-    hits = flat.join(values.where(has).select("g", *parts, F.lit(1).alias("hit")), ["g", *parts], "left").groupBy("g", "listed").agg(F.count("hit").alias("hits"))
-    return hits.join(counts, "g").where((F.col("hits") == F.size("listed")) & (F.col("hits") == F.col("n"))).select("g").distinct()
+    kinds, item = dict(values.dtypes), next(f.dataType.elementType for f in exclusions.schema.fields if f.name == observed)
+    cast = F.transform(observed, lambda x: F.struct(*[x[f.name].cast(kinds[p]).alias(p) for f, p in zip(item.fields, parts, strict=True)]))
+    listed = exclusions.where(F.col(group).isNotNull() & F.col(observed).isNotNull()).select(F.col(group).alias("g"), F.array_distinct(cast).alias("listed"))
+    fold = lambda i: F.aggregate("listed", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(fingerprints(*[x[p] for p in parts])[i]))
+    folded = [fold(i).alias(f"x{i}") for i in range(2)]
+    return listed.where(F.forall("listed", lambda x: F.forall(F.array(*[x[p].isNotNull() for p in parts]), lambda y: y))).select("g", F.size("listed").cast("long").alias("n_values"), *folded).distinct()
 
 
 def best_representative(
@@ -71,10 +69,13 @@ def best_representative(
     rows count towards ``min_rows``. Rows with a null group stand for no group. Empty tables give no rows."""
     parts = [f"v{i}" for i in range(len(value))]
     values = candidate_values(rows, sources, group=group, value=value, trust=trust, recency=recency, fill=fill)
-    rank = W.partitionBy("g").orderBy(F.col(parts[0]).isNull(), F.size("codes").desc(), F.col("at").desc_nulls_last(), *parts)
-    best = values.withColumn("rn", F.row_number().over(rank)).where("rn = 1")
-    groups = values.groupBy("g").agg(F.sum("n_rows").alias("n"), F.count(parts[0]).alias("n_values"), F.max("fill").alias("fill")).where(F.col("n") >= min_rows)
+    mine, pair = W.partitionBy("g"), F.col(parts[0]).isNotNull()
+    rank = mine.orderBy(F.col(parts[0]).isNull(), F.size("codes").desc(), F.col("at").desc_nulls_last(), *parts)
+    ranked = values.select(
+        "g", *parts, "codes", F.row_number().over(rank).alias("rn"), F.sum("n_rows").over(mine).alias("n_rows"), F.count(parts[0]).over(mine).alias("n_values"), F.max("fill").over(mine).alias("fill"),
+        *[F.coalesce(F.bit_xor(F.when(pair, x)).over(mine), F.lit(0)).alias(f"x{i}") for i, x in enumerate(fingerprints(*map(F.col, parts)))],
+    )
     return (
-        best.select("g", *parts, "codes").join(groups, "g").join(agreed_exclusions(values, exclusions, group=group, observed=observed), "g", "left_anti")
-        .select(F.col("g").alias(group), *[F.col(p).alias(v) for p, v in zip(parts, value, strict=True)], F.col("fill.fill").alias(fill), F.concat_ws(",", "codes").alias("source_codes"), F.col("n").alias("n_rows"), "n_values")
+        ranked.where((F.col("rn") == 1) & (F.col("n_rows") >= min_rows)).join(listed_sets(exclusions, values, group=group, observed=observed), ["g", "n_values", "x0", "x1"], "left_anti")
+        .select(F.col("g").alias(group), *[F.col(p).alias(v) for p, v in zip(parts, value, strict=True)], F.col("fill.fill").alias(fill), F.concat_ws(",", "codes").alias("source_codes"), "n_rows", "n_values")
     )

@@ -15,16 +15,18 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.leakage import spread
-from tidemark.session import cut
+from tidemark.session import cores, cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual splitting pattern of byte-level BPE vocabularies of this size: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLIT = regex.compile(PATTERN)
 PIECE = T.StructType([T.StructField("doc", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("first_token", T.LongType()), T.StructField("tokens", T.LongType())])
 PLACED = T.StructType([*PIECE.fields, T.StructField("container_kind", T.StringType()), T.StructField("container_id", T.StringType()), T.StructField("capacity", T.LongType())])
 
@@ -40,18 +42,15 @@ def encoding(path: str):
 
 
 def count_tokens(text: str, path: str, step: int = 200_000) -> int:
-    """Tokens of a text; a very long one is encoded in steps that end before a single blank, so that steps add up. A
-    step without one ends where it must."""
+    """Tokens of a text. Tokens never cross the parts that :data:`PATTERN` splits a text into, so a very long text is
+    encoded in steps of whole parts, and the counts add up to that of the text encoded at once."""
     e, n, at = encoding(path), 0, 0
     text = text.encode("utf-8", "replace").decode()
-    while len(text) - at > step:
-        end = text.rfind(" ", at + 1, at + step)
-        while end > at and (text[end - 1].isspace() or text[end + 1].isspace()):
-            end = text.rfind(" ", at + 1, end)
-        if end <= at:
-            end = at + step
-        n += len(e.encode_ordinary(text[at:end]))
-        at = end
+    if len(text) > step:
+        for part in SPLIT.finditer(text):
+            if part.end() - at >= step:
+                n += len(e.encode_ordinary(text[at : part.end()]))
+                at = part.end()
     return n + len(e.encode_ordinary(text[at:]))
 
 
@@ -146,7 +145,8 @@ def fill_containers(docs: DataFrame, containers: DataFrame, *, doc_id: str, text
         frame["capacity"] = at["container_kind"].map(names)
         return frame[PLACED.names]
 
-    dealt = items.withColumn("g", F.pmod(F.xxhash64("doc", "piece"), F.lit(groups)).cast("int"))
+    # a stated number of partitions, which AQE doesn't merge by their few bytes: the work is in the packing
+    dealt = items.withColumn("g", F.pmod(F.xxhash64("doc", "piece"), F.lit(groups)).cast("int")).repartition(min(groups, 16 * cores(docs.sparkSession)), "g")
     return dealt.groupBy("g").applyInPandas(packed, PLACED)
 
 
