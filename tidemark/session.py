@@ -78,5 +78,5 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """As many partitions as keep all cores busy with work on the CPU. An input large enough to be read in as many is
     left alone; its size is that of the plan's statistics, so nothing runs to find it."""
     least = least or 3 * cores(df.sparkSession)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(least) if size < least * df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
