@@ -135,6 +135,7 @@ class Merkle:
         self.told: set[tuple[str, bytes]] = set()
         self.flatten = flatten
         self.clean = False
+        self.names: dict[str, bytes] = {}
 
     def _utf8(self, text: str) -> str:
         return text.encode("utf-8", "replace").decode() if self.clean else text
@@ -146,32 +147,40 @@ class Merkle:
         order, left = [], [value]
         while left:
             x = left.pop()
-            kids = [(f, i, o) for f in sorted(x) for i, o in enumerate(objects(x[f]))]
-            order.append((x, kids))
-            left.extend(o for _, _, o in kids)
+            fields, kids = sorted(x), []
+            for f in fields:
+                if type(v := x[f]) is dict:
+                    kids.append((f, 0, v))
+                elif type(v) is list:
+                    kids += [(f, i, o) for i, o in enumerate(objects(v))]
+            order.append((x, fields, kids))
+            left += [o for _, _, o in kids]
         known: dict[int, bytes] = {}
         while order:
-            x, kids = order.pop()
-            body, attrs, at = [b"{"], [], 0
-            for field in sorted(x):
-                v, name = x[field], self._utf8(field).encode()
-                body.append(len(name).to_bytes(4, "big") + name)
-                if type(v) is list and at < len(kids) and kids[at][0] == field:
-                    body.append(b"[" + len(v).to_bytes(4, "big"))
-                if at < len(kids) and kids[at][0] == field:
-                    while at < len(kids) and kids[at][0] == field:
-                        body.append(b"#" + known[id(kids[at][2])])
-                        at += 1
-                else:
-                    text = _text(v)
-                    data = b"" if text is None else text.encode("utf-8", "replace")
-                    body.append(TAGS[type(v)] + len(data).to_bytes(4, "big") + data)
-                    attrs.append((self._utf8(field), text if text is None else self._utf8(text)))
+            x, fields, kids = order.pop()
+            body, attrs, held = [b"{"], [], {}
+            for f, _, o in kids:
+                held.setdefault(f, []).append(known[id(o)])
+            for field in fields:
+                v = x[field]
+                if (name := self.names.get(field)) is None:
+                    data = self._utf8(field).encode()
+                    name = self.names[field] = len(data).to_bytes(4, "big") + data
+                body.append(name)
+                if field in held:
+                    if type(v) is list:
+                        body.append(b"[" + len(v).to_bytes(4, "big"))
+                    body += [b"#" + k for k in held[field]]
+                    continue
+                text = _text(v)
+                data = b"" if text is None else text.encode("utf-8", "replace")
+                body.append(TAGS[type(v)] + len(data).to_bytes(4, "big") + data)
+                attrs.append((self._utf8(field), text if text is None else self._utf8(text)) if self.clean else (field, text))
             me = known[id(x)] = hashlib.blake2b(b"".join(body), digest_size=16).digest()
             if me not in self.seen:
                 self.seen.add(me)
                 self.rows.append(("node", None, me, None, None, None, attrs, None))
-                self.rows.extend(("bridge", None, known[id(o)], me, self._utf8(f), i, None, None) for f, i, o in kids)
+                self.rows += [("bridge", None, known[id(o)], me, self._utf8(f), i, None, None) for f, i, o in kids]
         if self.flatten and ("", me) not in self.told:
             self.told.add(("", me))
             for f, i, o in kids:
@@ -194,7 +203,9 @@ def decompose(batches: Iterator[pa.RecordBatch], envelope: tuple[str, ...], flat
                 found = unwrap(parse(payload), envelope) if payload else []
             except ValueError:
                 continue
-            store.clean = bool(payload) and "\\ud" in payload.lower()
+            if store.clean != (clean := bool(payload) and "\\ud" in payload.lower()):
+                store.clean = clean
+                store.names.clear()
             for i, x in enumerate(found):
                 if isinstance(x, dict):
                     store.rows.append(("root", record, store.add(x), None, None, i, None, None))
@@ -209,6 +220,7 @@ def _emit(store: Merkle) -> Iterator[pa.RecordBatch]:
         store.rows.clear()
         store.seen.clear()
         store.told.clear()
+        store.names.clear()
 
 
 @dataclass(frozen=True)
