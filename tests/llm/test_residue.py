@@ -1,6 +1,7 @@
 import pytest
+import xxhash
 
-from tidemark.llm.residue import PrefixTree, classify, residue, unfilled_slots
+from tidemark.llm.residue import SCHEMA, classify, messages, mined_templates, residue, tell, tokens, unfilled_slots
 
 REPORT = "Oldel Rovers beat Mirvor Town 2-1 at the Korsal Ground after a lively second half. A crowd of 2138 watched."
 
@@ -39,8 +40,10 @@ def test_kinds(spark):
         "Reload",
         '{"error": "Acesso negado", "message": "Sua sess\\u00e3o terminou.", "status": 249}',
         REPORT * 3000,
+        "Whoops! Loading...",
+        "HTTP 500 - Internal Server Error Something went wrong while loading this match centre. Please try again later.",
     ]
-    assert kinds(spark, texts) == {0: "error", 1: "notice", 2: "filler", 3: "filler", 4: "slot", 12: "error"}
+    assert kinds(spark, texts) == {0: "error", 1: "notice", 2: "filler", 3: "filler", 4: "slot", 12: "error", 14: "error", 15: "error"}
     assert kinds(spark, texts[5:6]) == {}
 
 
@@ -49,11 +52,30 @@ def test_empty(spark):
     assert residue(df, doc_id="doc_id", text="text").count() == 0
 
 
-def test_tree_gives_like_messages_one_template():
-    tree = PrefixTree()
-    a = tree.add("The results host did not answer in time today")
-    assert tree.add("The results host did not answer in time yesterday") == a
-    assert tree.add("Rain is forecast over the ground and nothing else") != a
-    assert classify(a) == "error"
-    small = PrefixTree(leaf=1, known=2)
-    assert len({small.add(f"alpha beta gamma {w} {w}x {w}y") for w in ("d", "e", "f", "g")}) == 4
+def templates(spark, texts, parts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(parts)
+    mined = mined_templates(df.mapInPandas(tell, SCHEMA)).collect()
+    return {r.template_id: r.template for r in mined if r.template is not None}, {r.sequence: r.template_id for r in mined if r.sequence is not None}
+
+
+def test_like_messages_are_one_template_however_they_are_split(spark):
+    texts = [f"The results host did not answer in time {w}" for w in ("today", "yesterday", "again")] + ["Rain is forecast over the ground and nothing else", "The page at this address on our site cannot be found today", "The page at this address on our site lists the results today"]
+    found, of = templates(spark, texts, 1)
+    assert (found, of) == templates(spark, texts[::-1] * 3, 4)
+    assert "the results host did not answer in time <*>" in found.values()
+    assert classify("the page at this address on our site cannot be found today") == "error"
+    assert classify("the page at this address on our site lists the results today") == "content"
+
+
+def test_a_template_has_the_verdict_of_each_of_its_sequences(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    texts = [r.text for r in frame.collect()]
+    found, of = templates(spark, texts, 3)
+    words = {xxhash.xxh64_intdigest(t) - 2**63: t for x in texts for m in messages(x or "") for t in [" ".join(tokens(m))]}
+    assert len(of) > 20 and all(classify(words[s]) == classify(found[t]) for s, t in of.items())
+    assert all(classify(t) == "content" for s, t in words.items() if s not in of)
+
+
+def test_titles_and_long_tags():
+    assert messages("A - B | Match centre\n\nReload") == ["Reload"]
+    assert messages("<a href='" + "x" * 5000 + "'>Goal</a>") == ["Goal"]
