@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from tidemark.llm.leakage import Index, leaked_items, leaks_of, plain, stream
+from tidemark.llm.leakage import Index, answered, leaked_items, leaks_of, plain, stream
 
 WORDS = [a + b + c for a in ("ba", "lo", "mi", "tru", "ve", "ska") for b in ("n", "r", "lt", "st") for c in ("a", "eg", "im", "o", "und")]
 
@@ -87,7 +88,7 @@ def test_blocks_find_what_one_index_finds(spark):
     noise = text(999, 60)
     docs = spark.createDataFrame([(i, f"{noise} {' '.join(words(i)[10:36])} {noise}") for i in range(8)], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS[:8], "item_id long, text string, answer string")
-    for block in (8_000_000, 600):
+    for block in (2_000_000, 600):
         got = leaked_items(docs, items, block_chars=block, doc_id="doc_id", text="text", item_id="item_id", item_text="text", item_answer="answer")
         assert sorted((r.doc, r.item) for r in got.collect()) == [(i, i) for i in range(8)]
 
@@ -97,10 +98,11 @@ def test_wand_finds_what_full_scoring_finds():
     r = random.Random(4)
     for _ in range(50):
         query = r.sample(range(len(index.terms)), 60)
-        full = [sum(index.impact[t][index.docs[t].index(n)] for t in query if n in index.docs[t]) for n in range(len(ITEMS))]
+        of = {t: dict(zip(index.docs[a:b].tolist(), index.impact[a:b].tolist(), strict=True)) for t in query for a, b in [(index.first[t], index.first[t + 1])]}
+        full = [sum(of[t].get(n, 0.0) for t in query) for n in range(len(ITEMS))]
         for threshold in (1.0, 4.0, 12.0):
             sure = {n for n, s in enumerate(full) if s > threshold + 1e-9}
-            got = set(index.above(query, threshold))
+            got = set(index.above(np.array(query), threshold))
             assert sure <= got <= {n for n, s in enumerate(full) if s > threshold - 1e-9}
 
 
@@ -120,3 +122,8 @@ def test_frames(spark):
         assert sorted((r.doc, r.item) for r in got.collect()) == [(1, 2), (1, 2), (5, 7)]
     assert leaked_items(docs.where("1 = 0"), items, **args).count() == 0
     assert leaked_items(docs, items.where("1 = 0"), **args).count() == 0
+
+
+def test_answers_are_whole_words():
+    assert answered("2-1", "It ended 2-1.") and not answered("2-1", "It ended 12-14.")
+    assert answered("Calan Mor", "by <b>CALAN</b> Mor") and answered("Calan Morwel", "Calan-M o r w e l") and not answered("", "any") and not answered("al", "Calan")

@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.leakage import spread
-from tidemark.session import cores, cut
+from tidemark.session import cores, cut, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual splitting pattern of byte-level BPE vocabularies of this size: a fixed value.

@@ -2,19 +2,20 @@
 
 Texts are compared as streams of their letters and digits, so that spacing, punctuation, markup, letter case and
 character forms don't matter. The items are an inverted index over k-grams of their streams, with BM25 impacts and
-block maxima; every passage of every document is a query, answered by block-max WAND with all items above a score.
-What is retrieved is verified by chaining the matching runs of both streams and counting the item's words they hold.
+maxima of blocks of items; every passage of every document is a query, answered by block-max WAND with all items above
+a score: blocks whose maxima can't reach it are skipped without reading a posting. What is retrieved is verified by
+chaining the matching runs of both streams and counting the item's words they hold, and its answer is looked up in the
+document. The index is flat arrays, about 60 bytes a character of the items.
 """
 
 from __future__ import annotations
 
-import bisect
 import html
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import cores, cut
+from tidemark.session import cut, spread
 
-TAG = re.compile(r"<[A-Za-z/!?][^<>]{0,400}>")
+TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
+OTHER = re.compile(r"[\W_]+")
 #: Letters that look like Latin ones, and letters that NFKD doesn't take apart: fixed values.
 LOOKALIKE = str.maketrans({
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r", "ԁ": "d", "ӏ": "l", "һ": "h", "ԛ": "q", "ԝ": "w",
@@ -50,8 +52,18 @@ def plain(text: str) -> str:
     text = TAG.sub(" ", html.unescape(text) if "&" in text else text)
     if text.isascii():
         return text.lower()
-    folded = unicodedata.normalize("NFKD", text).casefold().translate(LOOKALIKE)
-    return "".join(c for c in folded if not unicodedata.combining(c))
+    return unicodedata.normalize("NFKD", text).casefold().translate(FOLD)
+
+
+class _Fold(dict):
+    """Look-alikes by code point, nothing for combining marks, all else as it is; found once for each character."""
+
+    def __missing__(self, code: int) -> int | str | None:
+        self[code] = kept = LOOKALIKE.get(code, None if unicodedata.combining(chr(code)) else code)
+        return kept
+
+
+FOLD = _Fold()
 
 
 def _mend(found: re.Match[str]) -> str:
@@ -65,8 +77,11 @@ def _mend(found: re.Match[str]) -> str:
 
 def stream(text: str | None) -> np.ndarray:
     """The code points of letters and digits of the plain text."""
-    kept = "".join(c for c in plain(text or "") if c.isalnum())
-    return np.frombuffer(kept.encode("utf-32-le", "replace"), np.uint32)
+    return np.frombuffer(OTHER.sub("", plain(text or "")).encode("utf-32-le", "replace"), np.uint32)
+
+
+def spelled(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -83,79 +98,112 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Item:
-    """A text and its ``owners``: the ids that have it, with their answers."""
+    """A text and its ``owners``: the ids that have it, with their answers. ``grams`` are sorted, ``places`` says where
+    they are; ``words`` are the places at which words begin and the end, ``weight`` how rare they are."""
 
     owners: list[tuple[int, str]]
     codes: np.ndarray
     grams: np.ndarray
+    places: np.ndarray
     words: np.ndarray
     weight: np.ndarray
-    places: dict[int, list[int]] = field(default_factory=dict)
 
+    def shared(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` and in the item of all grams that both have."""
+        lo, hi = np.searchsorted(self.grams, hashes, "left"), np.searchsorted(self.grams, hashes, "right")
+        at = np.flatnonzero(hi > lo)
+        return np.repeat(at, hi[at] - lo[at]), self.places[spans(lo[at], hi[at])]
 
-def _least_score(item: Item, scores: list[float], least_words: int) -> float:
-    """The least score of the distinct grams in any passage of so many words, or in the whole of a shorter item."""
-    first: dict[int, int] = {}
+
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All whole numbers from each start to below its end, one after the other."""
+    n = ends - starts
+    return np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+
+
+def _least_score(item: Item, scores: np.ndarray, least_words: int) -> float:
+    """The least score of the distinct grams in any passage of so many words, or in the whole of a shorter item.
+    ``scores`` are those of the sorted grams."""
+    usual = len(item.codes) * least_words // max(1, len(item.weight))
+    # places rise within equal grams; one that was there within the passage's usual length is no new one
+    again = np.r_[False, (np.diff(item.places) <= usual) & (item.grams[1:] == item.grams[:-1])]
     new = np.zeros(len(scores))
-    for q, g in enumerate(item.grams.tolist()):  # a gram that was there within the passage's usual length is no new one
-        new[q] = scores[q] if q - first.get(g, -(10**9)) > len(item.codes) * least_words // max(1, len(item.weight)) else 0.0
-        first[g] = q
+    new[item.places] = np.where(again, 0.0, scores)
     sums = np.r_[0.0, np.cumsum(new)]
     n = min(least_words, len(item.weight))
-    starts, ends = item.words[: len(item.weight) - n + 1], item.words[n:]
-    full = [sums[max(a, min(b - GRAM + 1, len(scores)))] - sums[a] for a, b in zip(np.minimum(starts, len(scores)).tolist(), ends.tolist(), strict=True)]
-    return float(min((x for x in full if x > 0), default=sums[-1]))
+    starts = np.minimum(item.words[: len(item.weight) - n + 1], len(scores))
+    full = sums[np.maximum(starts, np.minimum(item.words[n:] - GRAM + 1, len(scores)))] - sums[starts]
+    return float(min(full[full > 0], default=sums[-1]))
 
 
 @dataclass
 class Index:
-    """``terms``: sorted gram hashes. Of term t, ``docs[t]``: item numbers in order, ``impact[t]``: their BM25 impacts,
-    ``block_max[t]``: the greatest impact of each block of postings, ``top``: of all."""
+    """``terms``: sorted gram hashes. The postings of term t are ``first[t]`` to ``first[t + 1]`` of ``docs``, item
+    numbers in order, and ``impact``, their BM25 impacts. They fall into blocks of BLOCK neighbouring items, the same
+    for all terms: those of t are ``block_first[t]`` to ``block_first[t + 1]`` of ``block``, the number of the block,
+    ``block_max``, its greatest impact, and ``block_at``, where its postings begin. ``top``: the greatest impact of t."""
 
     items: list[Item]
     terms: np.ndarray
-    docs: list[list[int]]
-    impact: list[list[float]]
-    block_max: list[list[float]]
+    first: np.ndarray
+    docs: np.ndarray
+    impact: np.ndarray
+    block_first: np.ndarray
+    block: np.ndarray
+    block_max: np.ndarray
+    block_at: np.ndarray
     top: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str | None, str | None]], k1: float = 1.2, b: float = 0.75, *, least_words: int = 25, total: int | None = None, common: dict[str | int, int] | None = None) -> Index:
-        """Equal texts are one item. Of a part of the items, ``total`` is the number of all texts and ``common`` has the
-        texts of those words and grams that more than one has. Impacts of items whose passages of ``least_words`` words
-        would score less than LEVEL are raised to it, so that a threshold means the same in any index."""
+    def build(
+        cls, rows: list[tuple[int, str | None, str | None]], k1: float = 1.2, b: float = 0.75, *, least_words: int = 25, total: int | None = None, mean: float | None = None, common: dict[str | int, int] | None = None
+    ) -> Index:
+        """Equal texts are one item. Of a part of the items, ``total`` is the number of all texts, ``mean`` their mean
+        number of grams and ``common`` has the texts of those words and grams that more than one has. Impacts of items
+        whose passages of ``least_words`` words would score less than LEVEL are raised to it, so that a threshold means
+        the same in any index."""
         owners: dict[str, list[tuple[int, str]]] = defaultdict(list)
         for item_id, text, answer in rows:
-            owners[text or ""].append((item_id, "".join(map(chr, stream(answer)))))
+            owners[text or ""].append((item_id, answer or ""))
         items, told = [], {text: re.findall(r"[^\W_]+", plain(text)) for text in owners}
         spread = Counter(w for words in told.values() for w in set(words))
-        total = total or len(owners)
-        often = common or {}
+        total, often = total or len(owners), common or {}
         for text, words in told.items():
             codes = stream(text)
             if len(codes) >= GRAM:
                 weight = np.array([1 + np.log(total / often.get(w, spread[w])) for w in words])
-                items.append(Item(owners[text], codes, grams(codes), np.cumsum([0] + [len(w) for w in words]), weight))
-        postings: dict[int, dict[int, int]] = defaultdict(dict)
-        for n, item in enumerate(items):
-            for q, g in enumerate(item.grams.tolist()):
-                item.places.setdefault(g, []).append(q)
-                postings[g][n] = postings[g].get(n, 0) + 1
-        mean = np.mean([len(x.grams) for x in items]) if items else 1.0
-        terms = np.array(sorted(postings), np.uint64)
-        scored: dict[int, dict[int, float]] = {}
-        for g in terms.tolist():
-            texts = often.get(g, len(postings[g]))
-            idf = np.log(1 + (max(total, texts) - texts + 0.5) / (texts + 0.5))
-            scored[g] = {n: float(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(items[n].grams) / mean))) for n, tf in postings[g].items()}
-        raised = [max(1.0, LEVEL / max(1e-9, _least_score(item, [scored[g][n] for g in item.grams.tolist()], least_words))) for n, item in enumerate(items)]
-        docs, impact, block_max = [], [], []
-        for g in terms.tolist():
-            found = sorted(scored[g].items())
-            docs.append([n for n, _ in found])
-            impact.append([raised[n] * x for n, x in found])
-            block_max.append([max(impact[-1][i : i + BLOCK]) for i in range(0, len(found), BLOCK)])
-        return cls(items, terms, docs, impact, block_max, np.array([max(x) for x in impact]) if impact else np.empty(0))
+                hashes = grams(codes)
+                order = np.argsort(hashes, kind="stable")
+                items.append(Item(owners[text], codes, hashes[order], order.astype(np.int32), np.cumsum([0] + [len(w) for w in words]), weight))
+        none = np.empty(0, np.int64)
+        if not items:
+            return cls([], none.astype(np.uint64), np.zeros(1, np.int64), none, none.astype(float), np.zeros(1, np.int64), none, none.astype(float), none, none.astype(float))
+        sizes = np.array([len(x.grams) for x in items])
+        every, owner = np.concatenate([x.grams for x in items]), np.repeat(np.arange(len(items)), sizes)
+        order = np.lexsort((owner, every))
+        g, n = every[order], owner[order]
+        fresh = np.r_[True, (g[1:] != g[:-1]) | (n[1:] != n[:-1])]
+        pair = np.flatnonzero(fresh)
+        tf, docs = np.diff(np.r_[pair, len(g)]), n[pair]
+        terms, first = np.unique(g[pair], return_index=True)
+        first = np.r_[first, len(pair)]
+        texts = np.diff(first).astype(float)
+        if grams_of := {k: v for k, v in often.items() if not isinstance(k, str)}:
+            keys = np.array(sorted(grams_of), np.uint64)
+            at = np.minimum(np.searchsorted(keys, terms), len(keys) - 1)
+            texts = np.where(keys[at] == terms, np.array([grams_of[int(k)] for k in keys], float)[at], texts)
+        idf = np.log(1 + (np.maximum(total, texts) - texts + 0.5) / (texts + 0.5))
+        long = sizes[docs] / (mean or sizes.mean())
+        impact = np.repeat(idf, np.diff(first)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * long))
+        score = np.empty(len(g))
+        score[order] = impact[np.cumsum(fresh) - 1]
+        ends = np.cumsum(sizes)
+        raised = np.array([max(1.0, LEVEL / max(1e-9, _least_score(x, score[e - m : e], least_words))) for x, e, m in zip(items, ends, sizes, strict=True)])
+        impact = impact * raised[docs]
+        numbers, term = docs // BLOCK, np.repeat(np.arange(len(terms)), np.diff(first))
+        begins = np.flatnonzero(np.r_[True, (numbers[1:] != numbers[:-1]) | (term[1:] != term[:-1])])
+        block_first = np.searchsorted(term[begins], np.arange(len(terms) + 1))
+        return cls(items, terms, first, docs.astype(np.int32), impact, block_first, numbers[begins].astype(np.int32), np.maximum.reduceat(impact, begins), begins, np.maximum.reduceat(impact, first[:-1]))
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers of gram hashes, -1 for those of no item."""
@@ -164,49 +212,24 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
-    def above(self, query: list[int], threshold: float) -> list[int]:
-        """Item numbers whose BM25 score for the query terms reaches the threshold, by block-max WAND: lists are kept
-        in order of their current item; the pivot is the first list at which the list maxima could reach the
-        threshold, and is only scored where the maxima of the blocks that hold it could, too."""
-        lists = [[self.docs[t][0], t, 0] for t in query]
-        lists.sort()
-        out = []
-        while lists:
-            bound, pivot = 0.0, -1
-            for i, (_, t, _) in enumerate(lists):
-                bound += self.top[t]
-                if bound >= threshold:
-                    pivot = i
-                    break
-            if pivot < 0:
-                return out
-            target = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == target:
-                pivot += 1
-            block = 0.0
-            for _, t, p in lists[: pivot + 1]:
-                at = bisect.bisect_left(self.docs[t], target, p) // BLOCK
-                block += self.block_max[t][at] if at < len(self.block_max[t]) else 0.0
-            score = 0.0
-            for x in lists[: pivot + 1]:
-                d, t, p = x
-                if d < target:
-                    p = bisect.bisect_left(self.docs[t], target, p)
-                if block >= threshold and p < len(self.docs[t]) and self.docs[t][p] == target:
-                    score += self.impact[t][p]
-                if p < len(self.docs[t]) and self.docs[t][p] == target:
-                    p += 1
-                x[0], x[2] = (self.docs[t][p] if p < len(self.docs[t]) else -1), p
-            if block >= threshold and score >= threshold:
-                out.append(target)
-            lists = sorted(x for x in lists if x[0] >= 0)
-        return out
+    def above(self, query: np.ndarray, threshold: float) -> list[int]:
+        """Item numbers whose BM25 score for the distinct query terms reaches the threshold, by block-max WAND. Terms
+        are at one block of items at a time; the maxima of those that have postings in it bound the score of any item
+        there, so blocks below the threshold are passed over, and postings are only read and summed in the others."""
+        held = spans(self.block_first[query], self.block_first[query + 1])
+        bound = np.bincount(self.block[held], self.block_max[held], minlength=1)
+        if not (bound >= threshold).any():
+            return []
+        held = held[bound[self.block[held]] >= threshold]
+        ends = np.r_[self.block_at[1:], len(self.docs)]
+        at = spans(self.block_at[held], ends[held]) if len(held) else held
+        score = np.bincount(self.docs[at], self.impact[at])
+        return np.flatnonzero(score >= threshold).tolist()
 
 
 @dataclass(frozen=True)
 class Verdict:
-    """``words`` of the item, the owners whose ``answers`` the stretch has; of its best passage the ``first`` word, its ``length``, the words ``held`` and their
-    ``share`` of the squared word weights, which is low where only what many items have in common was held. ``whole``:
+    """``words`` of the item; of its best passage the ``first`` word, its ``length``, the words ``held`` and their ``share`` of the squared word weights, which is low where only what many items have in common was held. ``whole``:
     the passage isn't trimmed, edited words near its edges count."""
 
     words: int
@@ -214,7 +237,6 @@ class Verdict:
     length: int
     held: int
     share: float
-    answers: frozenset[int]
     whole: bool = False
 
     def passes(self, least_words: int) -> bool:
@@ -249,14 +271,9 @@ def verify(item: Item, codes: np.ndarray, hashes: np.ndarray, least_words: int)
     finds the item's passage that each chain holds, the best chain first and then those of the runs left: trimmed to where it is held well, and whole, its edges followed
     beyond edited words. Words count by how few items use them, so what items merely share with each other, or with
     texts built like them, makes no passage."""
-    p, q = [], []
-    for at, g in enumerate(hashes.tolist()):
-        for place in item.places.get(g, ()):
-            p.append(at)
-            q.append(place)
-    if not p:
+    p, q = item.shared(hashes)
+    if not len(p):
         return []
-    p, q = np.array(p), np.array(q)
     order = np.lexsort((p, q - p))
     p, q = p[order], q[order]
     start = np.flatnonzero(np.r_[True, (np.diff(q - p) != 0) | (np.diff(p) != 1)])
@@ -273,8 +290,6 @@ def verify(item: Item, codes: np.ndarray, hashes: np.ndarray, least_words: int)
         if gain[j] > 0:
             score[i] += gain[j]
             back[i] = j
-    told = "".join(map(chr, codes))
-    answers = frozenset(i for i, answer in item.owners if answer and answer in told)
     out, used = [], np.zeros(len(runs), bool)
     while not used.all():
         i = last = int(np.argmax(np.where(used, -1.0, score)))
@@ -291,15 +306,14 @@ def verify(item: Item, codes: np.ndarray, hashes: np.ndarray, least_words: int)
             held[rq[i] : rq[i] + rl[i]] = True
         sums = np.r_[0, np.cumsum(held)]
         inside = (sums[item.words[1:]] - sums[item.words[:-1]]) >= 0.75 * np.diff(item.words)
-        out += [trimmed(item, inside, answers), whole(item, inside, answers, codes, (rp[first], rq[first]), (rp[last] + rl[last], rq[last] + rl[last]))]
+        out += [trimmed(item, inside), whole(item, inside, codes, (rp[first], rq[first]), (rp[last] + rl[last], rq[last] + rl[last]))]
     return out
 
 
-def whole(item: Item, inside: np.ndarray, answers: frozenset[int], codes: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> Verdict:
+def whole(item: Item, inside: np.ndarray, codes: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> Verdict:
     """All words from the first to the last held one; ``start``, ``end``: of the chain, in the document and the item."""
     inside = inside.copy()
     if inside.any():
-        spelled = lambda c: "".join(map(chr, c))
         # letters that a run shares by chance with an edited word may be the next word's
         after, before = int(np.searchsorted(item.words, end[1], "right")) - 1, int(np.searchsorted(item.words, start[1])) - 1
         lap_after, lap_before = int(end[1] - item.words[after]), int(item.words[before + 1] - start[1])
@@ -315,13 +329,13 @@ def whole(item: Item, inside: np.ndarray, answers: frozenset[int], codes: np.nda
             inside[before - n] = True
     told = np.flatnonzero(inside)
     if not len(told):
-        return Verdict(len(inside), 0, 0, 0, 0.0, answers, True)
+        return Verdict(len(inside), 0, 0, 0, 0.0, True)
     first, last = int(told[0]), int(told[-1]) + 1
     squares = item.weight[first:last] ** 2
-    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), float(squares[inside[first:last]].sum() / squares.sum()), answers, True)
+    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), float(squares[inside[first:last]].sum() / squares.sum()), True)
 
 
-def trimmed(item: Item, inside: np.ndarray, answers: frozenset[int]) -> Verdict:
+def trimmed(item: Item, inside: np.ndarray) -> Verdict:
     """The stretch of words with the greatest weight held, where a missing word takes back MISS times its own."""
     total = np.r_[0.0, np.cumsum(np.where(inside, item.weight, -MISS * item.weight))]
     low = np.minimum.accumulate(total)
@@ -329,7 +343,14 @@ def trimmed(item: Item, inside: np.ndarray, answers: frozenset[int]) -> Verdict:
     first = int(np.argmin(total[: last + 1]))
     squares = item.weight[first:last] ** 2
     share = float(squares[inside[first:last]].sum() / squares.sum()) if last > first else 0.0
-    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), share, answers)
+    return Verdict(len(inside), first, last - first, int(inside[first:last].sum()), share)
+
+
+def answered(answer: str, text: str) -> bool:
+    """Whether a text has the answer's words, one after the other; of an answer of eight or more letters and digits,
+    also its stream."""
+    apart = lambda x: f" {' '.join(OTHER.split(plain(x))).strip()} "
+    return bool(stream(answer).size) and (apart(answer) in apart(text) or (stream(answer).size >= 8 and spelled(stream(answer)) in spelled(stream(text))))
 
 
 def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float, least_words: int) -> list[tuple[int, int, int, int, bool]]:
@@ -345,7 +366,7 @@ def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float,
         b = min(a + passage, len(terms))
         if bound[b] - bound[a] >= threshold:
             query = np.unique(terms[a:b])
-            for n in index.above(query[query >= 0].tolist(), threshold):
+            for n in index.above(query[query >= 0], threshold):
                 found.setdefault(n, []).append(a)
         if b == len(terms):
             break
@@ -364,25 +385,20 @@ def leaks_of(text: str | None, index: Index, *, passage: int, threshold: float,
             for v in verify(item, codes[lo : hi + GRAM - 1], hashes[lo:hi], least_words):
                 best = v if v.passes(least_words) and (best is None or v.length > best.length) else best
         if best:
-            out.extend((i, best.first, best.length, best.held, i in best.answers) for i, _ in item.owners)
+            out.extend((i, best.first, best.length, best.held, answered(answer, text)) for i, answer in item.owners)
     return out
 
 
 FOUND = T.StructType([T.StructField("doc", T.LongType()), T.StructField("item", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType()), T.StructField("words_held", T.LongType()), T.StructField("answer_found", T.BooleanType())])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """As many partitions as keep all cores busy with work on the CPU; inputs that have as many are left alone."""
-    least = 3 * cores(df.sparkSession)
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
-
-
 def _used(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words of each text, and its grams as numbers after ``#``, each once."""
+    """The words of each text, and its grams as numbers after ``#``, each once; an empty key has the number of grams."""
     for frame in frames:
         for text, block in zip(frame["text"], frame["block"], strict=True):
-            keys = [*set(re.findall(r"[^\W_]+", plain(text))), *(f"#{g}" for g in set(grams(stream(text)).tolist()))]
-            yield pd.DataFrame({"block": block, "key": pd.Series(keys, dtype=object)})
+            hashes = grams(stream(text)).tolist()
+            keys = ["", *set(re.findall(r"[^\W_]+", plain(text))), *(f"#{g}" for g in set(hashes))]
+            yield pd.DataFrame({"block": block, "key": pd.Series(keys, dtype=object), "grams": [len(hashes)] + [0] * (len(keys) - 1)})
 
 
 def leaked_items(
@@ -397,7 +413,7 @@ def leaked_items(
     least_words: int = 25,
     passage: int = 200,
     threshold: float = 100.0,
-    block_chars: int = 8_000_000,
+    block_chars: int = 2_000_000,
 ) -> DataFrame:
     """``doc, item, first_word, words, words_held, answer_found`` for each document and item of which it holds a
     passage of at least ``least_words`` words, or all of a shorter item.
@@ -405,7 +421,7 @@ def leaked_items(
     Every whole text is searched in passages of ``passage`` characters at half that distance, against all items. The
     items are indexed in blocks of about ``block_chars`` characters; one index is broadcast at a time and bounded by
     that, and each further block is another pass over the documents; how rare words and
-    grams are is counted over all items. A passage counts with up to two words less, as its edges may be
+    grams are is counted over all items, so blocks give what one index would. ``answer_found`` tells whether the document has the answer, too; what counts as a leak is the text alone. A passage counts with up to two words less, as its edges may be
     edited, where most of its rarer words are held, and not at all where half of them aren't, see :class:`Verdict`. Null or empty texts hold nothing; items without seven letters or digits can't be found;
     repeated rows of an item are one; repeated documents each get their rows."""
     spark = docs.sparkSession
@@ -415,13 +431,14 @@ def leaked_items(
     source = spread(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null"))
     placed = told.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
     total = told.count() if blocks > 1 else None
-    used = cut(placed.mapInPandas(_used, "block long, key string")) if blocks > 1 else None
-    often = cut(used.groupBy("key").count().where("count > 1")) if blocks > 1 else None
+    used = cut(placed.mapInPandas(_used, "block long, key string, grams long")) if blocks > 1 else None
+    often = cut(used.where("key != ''").groupBy("key").count().where("count > 1")) if blocks > 1 else None
+    mean = used.where(f"key = '' and grams > 0").agg(F.avg("grams")).first()[0] if blocks > 1 else None
     out = None
     for block in range(blocks):
         rows = [(o.item, r.text, o.answer) for r in placed.where(F.col("block") == block).collect() for o in r.owners]
         common = {(int(k[1:]) if k[0] == "#" else k): n for k, n in often.join(used.where(F.col("block") == block).select("key").distinct(), "key").collect()} if blocks > 1 else None
-        index = spark.sparkContext.broadcast(Index.build(sorted(rows, key=lambda r: (r[0], r[1])), least_words=least_words, total=total, common=common))
+        index = spark.sparkContext.broadcast(Index.build(sorted(rows, key=lambda r: (r[0], r[1])), least_words=least_words, total=total, mean=mean, common=common))
 
         def search(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for frame in frames:
