@@ -122,11 +122,11 @@ def test_replay_never_sees_its_own_or_later_results(spark):
 
 def test_ledger_chain_and_tampering(spark):
     chain = ledger.append([{"m": f"2024-0{i}", "v": i} for i in range(1, 6)])
-    schema = "m string, v long, previous_record_sha256 string, record_sha256 string"
-    frame = lambda c: spark.createDataFrame([(r["m"], r["v"], r["previous_record_sha256"], r["record_sha256"]) for r in c], schema)
+    schema = "m string, v long, before_sha256 string, own_sha256 string"
+    frame = lambda c: spark.createDataFrame([(r["m"], r["v"], r["before_sha256"], r["own_sha256"]) for r in c], schema)
     assert ledger.broken_links(frame(chain), "m").count() == 0
     bad = [dict(r) for r in chain]
-    bad[2]["record_sha256"] = "f" * 64
+    bad[2]["own_sha256"] = "f" * 64
     assert [r.m for r in ledger.broken_links(frame(bad), "m").collect()] == ["2024-04"]
 
 

@@ -39,8 +39,8 @@ def test_readers(spark, tmp_path):
 
 def test_raw_store_and_catalogue(spark, tmp_path):
     for at in ("2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"):
-        artifacts.store_raw(str(tmp_path), "s", "fixtures", b"body", at)
-    artifacts.store_raw(str(tmp_path), "s", "fixtures", b"gone", "2024-01-03T00:00:00Z", 404)
+        artifacts.store_raw(spark, str(tmp_path), "s", "fixtures", b"body", at)
+    artifacts.store_raw(spark, str(tmp_path), "s", "fixtures", b"gone", "2024-01-03T00:00:00Z", 404)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("source_code", "resource", "retrieved_at", "content_sha256")] + [T.StructField("http_status", T.IntegerType())])
     assert readers.raw_catalogue(spark, str(tmp_path), schema, source="s").count() == 1
     assert readers.raw_catalogue(spark, str(tmp_path), schema, unique_content=False).count() == 2

@@ -95,3 +95,43 @@ def passes_completed(total: Column, accuracy: Column) -> Column:
     value = decimal_number(accuracy)
     percent = accuracy.endswith("%") | (value > total)
     return F.struct(F.when(percent, F.bround(total * value / 100)).otherwise(value).cast("bigint").alias("completed"), F.when(percent, value).otherwise(value * 100.0 / F.nullif(total, F.lit(0))).alias("percent"))
+
+
+def text_list(text: Column) -> Column:
+    """A list of texts delivered as JSON, as one bare text, or not at all; blanks are no element."""
+    bare = F.when(text.isNull() | (F.trim(text) == ""), F.array().cast("array<string>")).otherwise(F.array(text))
+    return F.coalesce(F.when(text.startswith("["), F.from_json(text, "array<string>")), bare, F.array().cast("array<string>"))
+
+
+def label_seed(base: int, *labels: str) -> Column:
+    """A seed for each combination of labels: ``base`` plus the first eight bytes of their hash."""
+    digest = F.sha2(F.concat_ws("|", *labels), 256)
+    return F.lit(base).cast("decimal(20,0)") + F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+def quarter_lines(low: Column, high: Column) -> Column:
+    """All lines from ``low`` to ``high`` in steps of a quarter."""
+    return F.transform(F.sequence(F.round(low * 4).cast("int"), F.round(high * 4).cast("int")), lambda q: q / 4.0)
+
+
+def market_question(question: Column, home: Column, away: Column) -> Column:
+    """``kind, side, line, home_score, away_score`` of a market's question about a match of two named sides; null kind
+    where it follows none of the templates, or names another side."""
+    q = F.trim(question)
+    group = lambda pattern, n: F.nullif(F.regexp_extract(q, pattern, n), F.lit(""))
+    side = lambda name: F.when(F.lower(name) == F.lower(home), "home").when(F.lower(name) == F.lower(away), "away")
+    pair = F.concat(home, F.lit(" vs. "), away)
+    after = F.when(F.startswith(F.lower(q), F.lower(F.concat(pair, F.lit(": ")))), F.substring(q, F.length(pair) + 3, F.lit(1 << 20)))
+    rest = lambda pattern, n: F.nullif(F.regexp_extract(after, pattern, n), F.lit(""))
+    win, spread = side(group(r"^Will (.+) win on \d{4}-\d{2}-\d{2}\?$", 1)), side(group(r"^Spread: (.+) \(-\d+(?:\.\d+)?\)$", 1))
+    team = side(rest(r"^(.+) O/U \d+(?:\.\d+)?$", 1))
+    exact = F.regexp_extract(q, r"^Exact Score: (.+) (\d+) - (\d+) (.+)\?$", 1)
+    scored = (F.lower(exact) == F.lower(home)) & (F.lower(group(r"^Exact Score: (.+) (\d+) - (\d+) (.+)\?$", 4)) == F.lower(away))
+    total = rest(r"^O/U (\d+(?:\.\d+)?)$", 1)
+    kind = (
+        F.when(win.isNotNull(), "win").when(F.lower(q) == F.lower(F.concat(F.lit("Will "), pair, F.lit(" end in a draw?"))), "draw").when(spread.isNotNull(), "handicap").when(team.isNotNull(), "team_total")
+        .when(total.isNotNull(), "total").when(after == "Both Teams to Score", "both_score").when(scored, "exact")
+    )
+    line = F.coalesce(F.when(spread.isNotNull(), group(r"\(-(\d+(?:\.\d+)?)\)$", 1)), F.when(team.isNotNull(), rest(r" O/U (\d+(?:\.\d+)?)$", 1)), total).cast("double")
+    goals = lambda n: F.when(scored, group(r"^Exact Score: (.+) (\d+) - (\d+) (.+)\?$", n).cast("int"))
+    return F.struct(kind.alias("kind"), F.coalesce(win, spread, team).alias("side"), line.alias("line"), goals(2).alias("home_score"), goals(3).alias("away_score"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -52,3 +53,33 @@ def transitions(before: DataFrame, now: DataFrame, keys: Sequence[str], state: s
     n = now.select(*keys, F.col(state).alias("_n"), F.lit(True).alias("_is"))
     kind = F.when(F.col("_was").isNull(), "opened").when(F.col("_is").isNull(), "resolved").when(~F.col("_b").eqNullSafe(F.col("_n")), "updated")
     return b.join(n, list(keys), "full_outer").select(*keys, kind.alias("transition")).where("transition is not null")
+
+
+def markdown(df: DataFrame, titles: Mapping[str, str]) -> list[str]:
+    """A small table, such as a report of aggregates, as lines of Markdown, in its order."""
+    rows = df.select(*titles).collect()
+    return [f"| {' | '.join(titles.values())} |", "|-" * len(titles) + "|", *(f"| {' | '.join('' if x is None else str(x) for x in r)} |" for r in rows)]
+
+
+def lifecycle(rows: DataFrame, delivery: str, entity: str, rules: Mapping[str, Column]) -> DataFrame:
+    """``rule, entity, delivery, event``: issues that named conditions find in successive deliveries. One is ``opened``
+    where it is first found, ``resolved`` at the next delivery without it and ``reopened`` when it comes back.
+    Deliveries are numbered from 1 in order; one scan evaluates all rules."""
+    order = rows.select(delivery).distinct().withColumn("i", F.row_number().over(W.orderBy(delivery)))  # one row a delivery
+    found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
+    hits = rows.select(delivery, entity, F.explode(found).alias("rule")).distinct().join(order, delivery)
+    w = W.partitionBy("rule", entity).orderBy("i")
+    placed = hits.withColumn("_before", F.lag("i").over(w)).withColumn("_after", F.lead("i").over(w)).join(order.agg(F.max("i").alias("_last")), F.lit(True))
+    events = F.array(
+        F.when(F.col("_before").isNull(), F.struct(F.col("i").alias("delivery"), F.lit("opened").alias("event"))).when(F.col("_before") < F.col("i") - 1, F.struct(F.col("i").alias("delivery"), F.lit("reopened").alias("event"))),
+        F.when((F.col("_after").isNull() | (F.col("_after") > F.col("i") + 1)) & (F.col("i") < F.col("_last")), F.struct((F.col("i") + 1).alias("delivery"), F.lit("resolved").alias("event"))),
+    )
+    return placed.select("rule", entity, F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("rule", entity, F.col("e.delivery").cast("long").alias("delivery"), "e.event")
+
+
+def reconciled(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
+    """All keys of both sides with ``verdict``: ``missing``, ``unexpected``, ``value_differs`` by more than the
+    tolerance, or ``agrees``; other columns of ``actual`` are kept."""
+    e, a = expected.select(*keys, F.col(value).alias("_e"), F.lit(True).alias("_was")), actual.withColumnRenamed(value, "_a").withColumn("_is", F.lit(True))
+    verdict = F.when(F.col("_is").isNull(), "missing").when(F.col("_was").isNull(), "unexpected").when(F.abs(F.col("_a") - F.col("_e")) > tolerance, "value_differs").otherwise("agrees")
+    return e.join(a, list(keys), "full_outer").withColumn("verdict", verdict).drop("_e", "_a", "_was", "_is")

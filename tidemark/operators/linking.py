@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import band_join
 from tidemark.session import cut
 
 
@@ -19,13 +20,13 @@ def link_score(evidence: Sequence[tuple[Column, int]], reject: Column) -> Column
     return F.when(~F.coalesce(reject, F.lit(False)), total)
 
 
-def mutual_best(pairs: DataFrame, group: Sequence[str], left: str, right: str, score: str, threshold: int, margin: int, rounds: int = 50) -> DataFrame:
+def mutual_best(pairs: DataFrame, group: Sequence[str], left: str, right: str, score: str, threshold: int, margin: int) -> DataFrame:
     """Pairs that reach the threshold, are the best of both their ends and beat the next best of either by the margin;
     then again among the ends that are left, until a round links nothing. Each round is two windows and two anti-joins
     over what is left, written to the shared folder."""
     left_pairs = cut(pairs.where(F.col(score) >= threshold).select(*group, left, right, score).distinct())
     found: DataFrame | None = None
-    for _ in range(rounds):
+    while True:
         gap = lambda end: F.col(score) - F.coalesce(F.lead(score).over(W.partitionBy(*group, end).orderBy(F.desc(score), *([right] if end == left else [left]))), F.lit(-margin))
         place = lambda end: F.row_number().over(W.partitionBy(*group, end).orderBy(F.desc(score), *([right] if end == left else [left])))
         best = cut(left_pairs.withColumn("_l", place(left)).withColumn("_r", place(right)).withColumn("_gl", gap(left)).withColumn("_gr", gap(right)).where((F.col("_l") == 1) & (F.col("_r") == 1) & (F.col("_gl") >= margin) & (F.col("_gr") >= margin)).select(*group, left, right, score))
@@ -43,3 +44,33 @@ def resolve(rows: DataFrame, source_key: Sequence[str], natural_key: Sequence[st
     n = entities.groupBy(*natural_key).agg(F.min("entity_id").alias("_natural"), F.count_distinct("entity_id").alias("_n")).where("_n = 1").drop("_n")
     method = F.when(F.col("_mapped").isNotNull(), "mapped").when(F.col("_natural").isNotNull(), "natural").otherwise("created")
     return rows.join(k, list(source_key), "left").join(n, list(natural_key), "left").withColumn("method", method).withColumn("entity_id", F.coalesce("_mapped", "_natural", new_id)).drop("_mapped", "_natural")
+
+
+def nearest_by_name(left: DataFrame, right: DataFrame, left_id: str, right_id: str, time: str, name: str, tolerance: int, margin: int) -> DataFrame:
+    """``left_id, right_id, distance, ambiguous``: the nearest right row in time within the tolerance among those whose
+    normalised name holds the left one's words in a row, or lies in it; ambiguous where the next is less than ``margin``
+    farther. Names that hold each other share words, so pairs meet by a word and a bin of time."""
+    words = lambda df, i: df.where(F.col(name) != "").select(i, time, name, F.explode(F.array_distinct(F.split(name, " "))).alias("word"))
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    pairs = band_join(words(left, left_id), words(right, right_id), ["word"], time, time, tolerance, tolerance)
+    held = pairs.where(F.contains(spaced(name), spaced(f"r_{name}")) | F.contains(spaced(f"r_{name}"), spaced(name))).select(left_id, F.col(f"r_{right_id}").alias(right_id), F.abs(F.col(f"r_{time}") - F.col(time)).alias("distance")).distinct()
+    w = W.partitionBy(left_id).orderBy("distance", right_id)
+    ranked = held.withColumn("_rn", F.row_number().over(w)).withColumn("_next", F.lead("distance").over(w)).where("_rn = 1")
+    return ranked.select(left_id, right_id, "distance", F.coalesce(F.col("_next") - F.col("distance") < margin, F.lit(False)).alias("ambiguous"))
+
+
+def tiered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: Sequence[Sequence[str]]) -> DataFrame:
+    """``left_id, right_id, tier``: candidates that agree in all columns of a tier; of several tiers the first."""
+    out = None
+    for i, keys in enumerate(tiers, 1):
+        part = left.join(right.select(right_id, *keys), list(keys)).select(left_id, right_id, F.lit(i).alias("tier"))
+        out = part if out is None else out.unionAll(part)
+    return out.groupBy(left_id, right_id).agg(F.min("tier").alias("tier"))
+
+
+def relink(entities: DataFrame, placeholder: Column, entity_id: str, natural: Sequence[str]) -> DataFrame:
+    """``entity_id, linked_id`` of placeholders: the one real entity with the natural key of any of its rows, else
+    itself; of several rows with one each the greatest id."""
+    real = entities.where(~placeholder).groupBy(*natural).agg(F.min(entity_id).alias("_id"), F.count_distinct(entity_id).alias("_n")).where("_n = 1")
+    found = entities.where(placeholder).join(real, list(natural), "left").groupBy(entity_id).agg(F.max("_id").alias("_id"))
+    return found.select(entity_id, F.coalesce("_id", entity_id).alias("linked_id"))

@@ -279,7 +279,7 @@ def ledger_hash_chain(t: Tables) -> DataFrame:
     """The chain over monthly summaries; the summaries are aggregated on the cluster, the chain is one row a month."""
     per = t.walk_forward_prediction.groupBy("fold_key").agg(F.count(F.lit(1)).alias("n"), mean_micro("moneyline_log_loss").alias("loss")).orderBy("fold_key")
     rows = ledger.append([r.asDict() for r in per.collect()])
-    schema = "fold_key string, n long, loss long, previous_record_sha256 string, record_sha256 string"
+    schema = "fold_key string, n long, loss long, before_sha256 string, own_sha256 string"
     chain = t.spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in schema.split(", ")) for r in rows], schema)
     return chain.join(ledger.broken_links(chain, "fold_key").select("fold_key"), "fold_key", "left_anti")
 

@@ -68,19 +68,20 @@ def thaw(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def store_raw(root: str, source: str, resource: str, body: bytes, retrieved_at: str, status: int = 200) -> dict:
-    """Puts one retrieval into a content-addressed store of the driver's file system: the gzipped body once for its
-    content, a sidecar for every retrieval."""
-    from pathlib import Path
+def store_raw(spark: SparkSession, root: str, source: str, resource: str, body: bytes, retrieved_at: str, status: int = 200) -> dict:
+    """Puts one retrieval into a content-addressed store in whatever file system ``root`` lies: the gzipped body once for
+    its content, a sidecar for every retrieval."""
+    fs, Path = _fs(spark, root)
+
+    def put(path: str, data: bytes) -> None:
+        out = fs.create(Path(path), True)
+        out.write(bytearray(data))
+        out.close()
 
     sha = hashlib.sha256(body).hexdigest()
-    folder = Path(root) / source / resource / f"ingest_date={retrieved_at[:10]}"
-    folder.mkdir(parents=True, exist_ok=True)
-    content = Path(root) / "content" / f"{sha}.gz"
-    duplicate = content.exists()
+    duplicate = fs.exists(Path(f"{root}/content/{sha}.gz"))
     if not duplicate:
-        content.parent.mkdir(parents=True, exist_ok=True)
-        content.write_bytes(gzip.compress(body, mtime=0))
+        put(f"{root}/content/{sha}.gz", gzip.compress(body, mtime=0))
     meta = {"source_code": source, "resource": resource, "retrieved_at": retrieved_at, "http_status": status, "content_sha256": sha, "duplicate_content": duplicate}
-    (folder / f"{sha[:16]}-{uuid.uuid4().hex[:8]}.meta.json").write_text(json.dumps(meta))
+    put(f"{root}/{source}/{resource}/ingest_date={retrieved_at[:10]}/{sha[:16]}-{uuid.uuid4().hex[:8]}.meta.json", json.dumps(meta).encode())
     return meta
