@@ -157,7 +157,6 @@ def test_bootstrap_repeats(spark):
 
 
 def test_fits(spark):
-    assert fit.golden_section(lambda x: (x - 1.3) ** 2, 0, 3) == pytest.approx(1.3, abs=1e-6)
     df = spark.createDataFrame([(i % 2, 1.0 if i % 2 else -1.0) for i in range(40)] + [(3, 1.0)] * 10, "y int, x double")
     (b,) = fit.fit_poisson(df, "y", F.lit(0.0), [F.col("x")], ridge=0.1)
     assert b > 0

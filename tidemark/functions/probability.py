@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FLOOR = 1e-15
 
@@ -21,13 +17,27 @@ def poisson_pmf(k: Column, rate: Column) -> Column:
     return F.exp(-rate + k * F.ln(rate) - log_factorial(k))
 
 
-@F.pandas_udf(T.DoubleType())
-def negative_binomial_pmf(k: pd.Series, mean: pd.Series, shape: pd.Series) -> pd.Series:
-    """Counts with the given mean and variance ``mean + mean**2 / shape``."""
-    return pd.Series([
-        math.exp(math.lgamma(x + r) - math.lgamma(r) - math.lgamma(x + 1) + r * math.log(r / (r + m)) + x * math.log(m / (r + m))) if None not in (x, m, r) and r > 0 and m > 0 else None
-        for x, m, r in zip(k, mean, shape, strict=True)
-    ])
+def negative_binomial(k: Column, mean: Column, shape: Column) -> Column:
+    """Probability of a count with the given mean and variance ``mean + mean**2 / shape``; its binomial coefficient is a
+    product of ``k`` factors. Null without a positive mean and shape."""
+    r, m = shape.cast("double"), mean.cast("double")
+    rising = F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.ln((r + i - 1) / i))
+    log = F.when(k > 0, rising).otherwise(0.0) + r * F.ln(r / (r + m)) + k * F.ln(m / (r + m))
+    return F.when((r > 0) & (m > 0), F.exp(log))
+
+
+def poisson_support(mean: Column, left_out: float, most: int) -> Column:
+    """The least count up to which a distribution has all but ``left_out`` of its mass; null where that is beyond
+    ``most``."""
+    step = lambda acc, k: F.when(acc["f"] >= 1 - left_out, acc).otherwise(F.struct((acc["f"] + acc["p"] * mean / k).alias("f"), (acc["p"] * mean / k).alias("p"), k.cast("int").alias("k")))
+    start = F.struct(F.exp(-mean).alias("f"), F.exp(-mean).alias("p"), F.lit(0).alias("k"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)
+    return F.when(end["f"] >= 1 - left_out, end["k"])
+
+
+def low_score_gradient(h: Column, a: Column, home: Column, away: Column) -> Column:
+    """Derivative of the log of :func:`low_score_factor` where there is no dependence; its square is the curvature."""
+    return F.when((h == 0) & (a == 0), -home * away).when((h == 0) & (a == 1), home).when((h == 1) & (a == 0), away).when((h == 1) & (a == 1), F.lit(-1.0)).otherwise(F.lit(0.0))
 
 
 def bivariate_poisson_pmf(h: Column, a: Column, home: Column, away: Column, shared: Column) -> Column:

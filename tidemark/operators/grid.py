@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.probability import low_score_factor
+from tidemark.functions.probability import log_loss, low_score_factor
 
 
 def marginal(rate: Column, support: int) -> Column:
@@ -48,3 +49,45 @@ def tilted(cells: DataFrame, keys: Sequence[str], features: dict[str, Column], w
     lifted = scored.join(top, groups).withColumn("_q", F.col("p") * F.exp(F.col("_eta") - F.col("_top")))
     sums = lifted.groupBy(*groups).agg(F.sum("_q").alias("_s"))
     return lifted.join(sums, groups).withColumn("p", F.col("_q") / F.col("_s") * (F.col("_part") if within else F.lit(1.0))).drop("_eta", "_top", "_part", "_q", "_s")
+
+
+def tempered_cells(cells: DataFrame, keys: Sequence[str], temperature: float) -> DataFrame:
+    """Cells with ``p`` to the power of one over the temperature, normalised again."""
+    raised = cells.withColumn("_q", F.when(F.col("p") > 0, F.exp(F.ln("p") / temperature)).otherwise(0.0))
+    return raised.withColumn("p", F.col("_q") / F.sum("_q").over(W.partitionBy(*keys))).drop("_q")
+
+
+def convolved(df: DataFrame, first: Callable[[Column], Column], second: Callable[[Column], Column], support: int) -> DataFrame:
+    """``df`` with a row for each sum ``k`` of two independent counts up to ``support``, and its probability ``p``."""
+    counts = F.sequence(F.lit(0), F.lit(support))
+    told = df.withColumn("_a", F.transform(counts, first)).withColumn("_b", F.transform(counts, second)).withColumn("k", F.explode(counts))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("k")), F.lit(0.0), lambda s, i: s + F.col("_a")[i] * F.col("_b")[F.col("k") - i])
+    return told.withColumn("p", total).drop("_a", "_b")
+
+
+def metrics(cells: DataFrame, keys: Sequence[str], home: str, away: str, by: Sequence[str]) -> DataFrame:
+    """Means of eleven metrics over grids, in millionths: log losses of the exact score, both sides' goals, their sum and
+    difference and the outcome; Brier scores of the outcome, of both sides scoring and of more than two goals; the ranked
+    score of the sum; and how often the likeliest score, of equal ones the smaller, was right. Cells are summed by their
+    total before grids are."""
+    h, a, y, x, p = (F.col(c) for c in ("h", "a", home, away, "p"))
+    part = lambda c, name: F.sum(F.when(c, p).otherwise(0.0)).alias(name)
+    rounded = F.floor(p * 1e6 + 0.5).cast("bigint")
+    totals = cells.groupBy(*keys, home, away, (h + a).alias("_k")).agg(
+        F.sum("p").alias("_t"), part((h == y) & (a == x), "_e"), part(h == y, "_hm"), part(a == x, "_am"), part(h - a == y - x, "_dm"), part(h > a, "_w"), part(h == a, "_d"), part(h < a, "_l"),
+        part((h > 0) & (a > 0), "_b"), F.max(F.struct(rounded.alias("m"), (-h).alias("h"), (-a).alias("a"))).alias("_top"),
+    )
+    cdf = F.sum("_t").over(W.partitionBy(*keys).orderBy("_k"))
+    k, s = F.col("_k"), y + x
+    far = F.col("_f") - (s <= k).cast("int")
+    each = totals.withColumn("_f", cdf).groupBy(*keys, home, away).agg(
+        *[F.sum(c).alias(c) for c in ("_e", "_hm", "_am", "_dm", "_w", "_d", "_l", "_b")], F.sum(F.when(k == s, F.col("_t")).otherwise(0.0)).alias("_tm"), F.sum(F.when(k > 2, F.col("_t")).otherwise(0.0)).alias("_o"), F.sum(far * far).alias("_rps"), F.max("_top").alias("_top")
+    )
+    outcome = F.when(y > x, F.col("_w")).when(y == x, F.col("_d")).otherwise(F.col("_l"))
+    off = lambda c, hit: (F.col(c) - hit.cast("int")) * (F.col(c) - hit.cast("int"))
+    mean = lambda c, name: F.floor(F.avg(c) * 1e6 + 0.5).cast("bigint").alias(name)
+    return each.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *[mean(log_loss(F.col(c)), n) for c, n in (("_e", "exact"), ("_hm", "home"), ("_am", "away"), ("_tm", "total"), ("_dm", "difference"))], mean(log_loss(outcome), "outcome"),
+        mean(off("_w", y > x) + off("_d", y == x) + off("_l", y < x), "outcome_brier"), mean(off("_b", (y > 0) & (x > 0)), "both_score_brier"), mean(off("_o", s > 2), "over_brier"), mean(F.col("_rps"), "total_rps"),
+        mean(((F.col("_top.h") == -y) & (F.col("_top.a") == -x)).cast("int"), "top_hit"),
+    )

@@ -74,3 +74,18 @@ def relink(entities: DataFrame, placeholder: Column, entity_id: str, natural: Se
     real = entities.where(~placeholder).groupBy(*natural).agg(F.min(entity_id).alias("_id"), F.count_distinct(entity_id).alias("_n")).where("_n = 1")
     found = entities.where(placeholder).join(real, list(natural), "left").groupBy(entity_id).agg(F.max("_id").alias("_id"))
     return found.select(entity_id, F.coalesce("_id", entity_id).alias("linked_id"))
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``node, component``: the least node that each is linked to by any path. Every round gives a node the least label
+    among its own, its neighbours' and its label's, so chains shorten by half; it ends when no label falls. Labels and
+    edges stay on the cluster, each round's are written to the shared folder."""
+    both = cut(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.explode(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))).alias("e")).select("e.x", "e.y").distinct())
+    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("component")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
+        after = cut(labels.join(near, "node").join(jump, "component").select("node", F.least("component", "near", "jump").alias("component"), (F.least("near", "jump") < F.col("component")).alias("fell")))
+        labels = after.select("node", "component")
+        if not after.where("fell").head(1):
+            return labels

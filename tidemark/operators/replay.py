@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.linking import components
+
 
 def decayed_evidence(df: DataFrame, entity: Sequence[str], time: str, value: str, half_life: float, prior: float, strength: float, epoch: float) -> DataFrame:
     """Adds ``evidence_weight`` and ``evidence_mean``: exponentially decayed count and mean of the entity's values at
@@ -37,33 +40,6 @@ def decayed_evidence(df: DataFrame, entity: Sequence[str], time: str, value: str
     return joined.select(*df.columns, weight.alias("evidence_weight"), ((strength * prior + sum_) / (strength + weight)).alias("evidence_mean"))
 
 
-@dataclass
-class Gaussian:
-    """A mean and variance that drift back to their prior with time."""
-
-    prior_mean: float
-    prior_variance: float
-    half_life: float
-    mean: float = field(init=False)
-    variance: float = field(init=False)
-    time: float | None = None
-
-    def __post_init__(self) -> None:
-        self.mean, self.variance = self.prior_mean, self.prior_variance
-
-    def advance(self, to: float) -> None:
-        if self.time is not None and to > self.time:
-            keep = math.exp(-math.log(2) * (to - self.time) / self.half_life)
-            self.mean = self.prior_mean + keep * (self.mean - self.prior_mean)
-            self.variance = keep * keep * self.variance + (1 - keep * keep) * self.prior_variance
-        if self.time is None or to > self.time:
-            self.time = to
-
-    def learn(self, gradient: float, information: float) -> None:
-        self.variance = 1 / (1 / self.variance + information)
-        self.mean += self.variance * gradient
-
-
 @dataclass(frozen=True)
 class ReplaySpec:
     """Priors and half-lives, in days; ``defence_sign`` is -1 where a good defence lowers the opponent's rate."""
@@ -83,64 +59,113 @@ class ReplaySpec:
 
 
 SNAPSHOT = T.StructType([T.StructField("fixture_id", T.LongType()), T.StructField("expected_home", T.DoubleType()), T.StructField("expected_away", T.DoubleType()), T.StructField("home_matches", T.LongType()), T.StructField("away_matches", T.LongType())])
-
-
-def fold(frame: pd.DataFrame, spec: ReplaySpec) -> pd.DataFrame:
-    """Replays one coupled group of matches. At every time all snapshots are taken before any result counts, and all
-    results of a time are one batch: gradients at the states before it, summed per state."""
-    states: dict[tuple, Gaussian] = {}
-    seen: dict[int, int] = {}
-
-    def state(kind: str, key: object) -> Gaussian:
-        if (kind, key) not in states:
-            mean, sd, life = {"level": (spec.level, spec.level_sd, spec.level_half_life), "home": (spec.home, spec.home_sd, spec.level_half_life)}.get(kind, (0.0, spec.team_sd, spec.team_half_life))
-            states[kind, key] = Gaussian(mean, sd * sd, life)
-        return states[kind, key]
-
-    def parts(r, now: float) -> tuple[list[tuple[tuple, float, float]], float, float]:
-        signs = [(("level", r.competition), 1.0, 1.0), (("home", r.competition), 0.0 if r.neutral else 1.0, 0.0), (("attack", r.home), 1.0, 0.0), (("defence", r.away), float(spec.defence_sign), 0.0), (("attack", r.away), 0.0, 1.0), (("defence", r.home), 0.0, float(spec.defence_sign))]
-        a = b = 0.0
-        for key, x, y in signs:
-            s = state(*key)
-            s.advance(now)
-            a += x * s.mean
-            b += y * s.mean
-        return signs, min(max(math.exp(a), spec.low), spec.high), min(max(math.exp(b), spec.low), spec.high)
-
-    events = [(r.kick - spec.lead_minutes, 0, i) for i, r in enumerate(frame.itertuples())] + [(r.kick + spec.delay_minutes, 1, i) for i, r in enumerate(frame.itertuples())]
-    rows, out, at = list(frame.itertuples()), [], 0
-    events.sort(key=lambda e: (e[0], e[1], rows[e[2]].fixture_id))
-    while at < len(events):
-        end = at
-        while end < len(events) and events[end][:2] == events[at][:2]:
-            end += 1
-        now, batch = events[at][0] / 1440, [rows[i] for _, _, i in events[at:end]]
-        if events[at][1] == 0:
-            for r in batch:
-                _, a, b = parts(r, now)
-                out.append((r.fixture_id, a, b, seen.get(r.home, 0), seen.get(r.away, 0)))
-        else:
-            gradient: dict[tuple, list[float]] = {}
-            for r in batch:
-                signs, a, b = parts(r, now)
-                for key, x, y in signs:
-                    g = gradient.setdefault(key, [0.0, 0.0])
-                    g[0] += x * (r.home_goals - a) + y * (r.away_goals - b)
-                    g[1] += x * x * a + y * y * b
-            for key, (g, info) in gradient.items():
-                if info > 0:
-                    states[key].learn(g, info)
-            for r in batch:
-                seen[r.home], seen[r.away] = seen.get(r.home, 0) + 1, seen.get(r.away, 0) + 1
-        at = end
-    return pd.DataFrame(out, columns=SNAPSHOT.names)
+MATCH = ("fixture_id", "home", "away", "competition", "home_goals", "away_goals", "neutral")
+
+
+class Replay:
+    """All states of one coupled group, as columns: what each is drawn back to, how far it is from there, how sure it is
+    and since when. States are numbered as they first occur; matches are tuples of :data:`MATCH`."""
+
+    def __init__(self, spec: ReplaySpec) -> None:
+        self.spec = spec
+        team = (0.0, spec.team_sd**2, spec.team_half_life)
+        self.kinds = {"level": (spec.level, spec.level_sd**2, spec.level_half_life), "home": (spec.home, spec.home_sd**2, spec.level_half_life), "attack": team, "defence": team}
+        self.number: dict[tuple, int] = {}
+        self.centre, self.spread, self.pull, self.off, self.sure, self.since = ([] for _ in range(6))
+        self.played: dict[int, int] = {}
+
+    def _touched(self, match: tuple) -> list[tuple[int, float, float]]:
+        """Numbers of the states that a match depends on, with their weights in the logs of both rates."""
+        _, home, away, place, _, _, neutral = match
+        d = self.spec.defence_sign
+        out = []
+        for kind, key, x, y in (("level", place, 1, 1), ("home", place, 0 if neutral else 1, 0), ("attack", home, 1, 0), ("defence", away, d, 0), ("attack", away, 0, 1), ("defence", home, 0, d)):
+            if (n := self.number.get((kind, key))) is None:
+                n = self.number[kind, key] = len(self.number)
+                centre, spread, life = self.kinds[kind]
+                for column, value in ((self.centre, centre), (self.spread, spread), (self.pull, math.log(2) / life), (self.off, 0.0), (self.sure, 1 / spread), (self.since, None)):
+                    column.append(value)
+            out.append((n, x, y))
+        return out
+
+    def rates(self, matches: list[tuple], now: float) -> list[tuple[list[tuple[int, float, float]], float, float]]:
+        """The touched states of each match, brought to ``now``, and its two rates."""
+        touched = [self._touched(m) for m in matches]
+        for n in {n for t in touched for n, _, _ in t}:
+            gone = 0.0 if self.since[n] is None else now - self.since[n]
+            if gone > 0:
+                kept = math.exp(-self.pull[n] * gone)
+                self.off[n] *= kept
+                self.sure[n] = 1 / (self.spread[n] + kept * kept * (1 / self.sure[n] - self.spread[n]))
+            if gone > 0 or self.since[n] is None:
+                self.since[n] = now
+        low, high = math.log(self.spec.low), math.log(self.spec.high)
+        rate = lambda t, side: math.exp(min(max(sum(x[side] * (self.centre[x[0]] + self.off[x[0]]) for x in t), low), high))
+        return [(t, rate(t, 1), rate(t, 2)) for t in touched]
+
+    def snapshots(self, matches: list[tuple], now: float) -> list[tuple]:
+        return [(m[0], a, b, self.played.get(m[1], 0), self.played.get(m[2], 0)) for m, (_, a, b) in zip(matches, self.rates(matches, now), strict=True)]
+
+    def results(self, matches: list[tuple], now: float) -> None:
+        """All results of a time at once, at the states before it: what they teach is summed by state, then added."""
+        slope, told = Counter(), Counter()
+        for m, (touched, a, b) in zip(matches, self.rates(matches, now), strict=True):
+            for n, x, y in touched:
+                slope[n] += x * (m[4] - a) + y * (m[5] - b)
+                told[n] += x * x * a + y * y * b
+            self.played[m[1]] = self.played.get(m[1], 0) + 1
+            self.played[m[2]] = self.played.get(m[2], 0) + 1
+        for n, weight in told.items():
+            self.sure[n] += weight
+            self.off[n] += slope[n] / self.sure[n]
+
+
+def fold(frames: Iterator[pd.DataFrame], spec: ReplaySpec) -> Iterator[pd.DataFrame]:
+    """Batches of events sorted by group, time and phase, to snapshots. Only the states of one group and the matches of
+    one time are kept, however many a group has."""
+    run, replay, held = None, Replay(spec), []
+    out: list[tuple] = []
+
+    def close() -> None:
+        if held:
+            if run[2]:
+                replay.results(held, run[1] / 1440)
+            else:
+                out.extend(replay.snapshots(held, run[1] / 1440))
+            held.clear()
+
+    for frame in frames:
+        for this, match in zip(zip(*(frame[c].tolist() for c in ("_g", "_t", "_phase")), strict=True), zip(*(frame[c].tolist() for c in MATCH), strict=True), strict=True):
+            if this != run:
+                close()
+                if run is None or this[0] != run[0]:
+                    replay = Replay(spec)
+                run = this
+            held.append(match)
+        yield pd.DataFrame(out, columns=SNAPSHOT.names)
+        out.clear()
+    close()
+    yield pd.DataFrame(out, columns=SNAPSHOT.names)
 
 
 def state_replay(matches: DataFrame, group: Column, spec: ReplaySpec) -> DataFrame:
-    """Expected goals of every match as known ``lead_minutes`` before it. A fold is sequential by nature, so matches are
-    grouped by what couples their states; groups run in parallel."""
-    cols = ("fixture_id", "home", "away", "competition", "kick", "home_goals", "away_goals", "neutral")
-    return matches.withColumn("_g", group).groupBy("_g").applyInPandas(lambda frame: fold(frame[list(cols)], spec), SNAPSHOT)
+    """Expected goals of every match as known ``lead_minutes`` before it. At every time all snapshots are taken before any
+    result counts. The order of results is sequential by nature, so matches are grouped by what couples their states,
+    see :func:`coupled`; a group's events run through one task as a sorted stream and are never collected."""
+    event = lambda t, p: F.struct(t.alias("t"), F.lit(p).alias("p"))
+    both = F.explode(F.array(event(F.col("kick") - spec.lead_minutes, 0), event(F.col("kick") + spec.delay_minutes, 1)))
+    events = matches.select(group.alias("_g"), *MATCH, both.alias("e")).select("_g", *MATCH, F.col("e.t").alias("_t"), F.col("e.p").alias("_phase"))
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartition(parts, "_g").sortWithinPartitions("_g", "_t", "_phase", "fixture_id").mapInPandas(lambda frames: fold(frames, spec), SNAPSHOT)
+
+
+def coupled(matches: DataFrame) -> DataFrame:
+    """``matches`` with ``group``, the same for all that are linked by a team or a competition."""
+    team = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
+    place = F.concat(F.lit("c"), F.col("competition").cast("string"))
+    edges = matches.select(team("home").alias("a"), team("away").alias("b")).unionAll(matches.select(team("home").alias("a"), place.alias("b"))).distinct()
+    found = components(edges, "a", "b").select(F.col("node").alias("_n"), F.col("component").alias("group"))
+    return matches.withColumn("_n", team("home")).join(found, "_n").drop("_n")
 
 
 def running_scale(df: DataFrame, keys: Sequence[str], time: str, observed: str, expected: str, prior_observed: float, prior_expected: float) -> Column:

@@ -89,3 +89,19 @@ def block_bootstrap(df: DataFrame, block: str, value: str, replicates: int, seed
     index = df.sparkSession.createDataFrame([(i, n, float(s or 0)) for i, (_, n, s) in enumerate(blocks)], "at int, n long, s double")
     means = at.join(F.broadcast(index), "at").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.agg(F.lit(sum(float(s or 0) for _, _, s in blocks) / sum(n for _, n, _ in blocks)).alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("m") < 0).cast("double")).alias("share_below_zero"))
+
+
+def shrunk(df: DataFrame, keys: Sequence[str], position: str, value: str, weight: float) -> DataFrame:
+    """``keys, position, n, shrunk``: means by key and position, drawn to the position's mean as by ``weight`` rows more.
+    Positions' means come from the sums of their keys, so the rows are read once."""
+    per = df.where(F.col(value).isNotNull()).groupBy(*keys, position).agg(F.sum(value).alias("_s"), F.count(value).alias("n"))
+    whole = per.groupBy(position).agg((F.sum("_s") / F.sum("n")).alias("_m"))
+    return per.join(whole, position).select(*keys, position, "n", ((weight * F.col("_m") + F.col("_s")) / (weight + F.col("n"))).alias("shrunk"))
+
+
+def dirichlet_bins(df: DataFrame, key: str, bin_column: str, bins: int, prior: float) -> DataFrame:
+    """``key, bin, n, p`` for bins 0 to ``bins - 1`` of each key: shares with ``prior`` added to each bin's count."""
+    counts = df.groupBy(key).agg(*[F.count_if(F.col(bin_column) == i).alias(f"b{i}") for i in range(bins)])
+    total = sum((F.col(f"b{i}") for i in range(1, bins)), F.col("b0"))
+    each = F.array(*[F.struct(F.lit(i).alias("bin"), F.col(f"b{i}").alias("n"), ((prior + F.col(f"b{i}")) / (bins * prior + total)).alias("p")) for i in range(bins)])
+    return counts.select(key, F.explode(each).alias("x")).select(key, "x.*")

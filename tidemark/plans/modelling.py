@@ -15,7 +15,7 @@ from tidemark.operators import asof, fit, grid, ledger, linking, replay, stats
 from tidemark.plans.registry import Registry, Tables
 from tidemark.plans.relational import mean_micro, micro
 from tidemark.plans.views import TEAM_ROWS, TICKS, matches, team_rows, ticks
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, cut
 from tidemark.sources.readers import field_coverage as coverage
 from tidemark.streaming import pipelines as stream
 
@@ -70,7 +70,8 @@ def content_sha(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.sha2(F.concat_ws("|", F.lit("customer"), F.col("c_custkey").cast("string"), "c_mktsegment"), 256).alias("sha"))
 
 
-@query()
+@query(f"""with s as (select c_custkey, sha1(unhex('{NAMESPACE.replace("-", "")}') || encode('customer|' || c_custkey || '|' || c_mktsegment)) h from customer)
+    select c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', position(substr(h, 17, 1) in '0123456789abcdef'), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) id from s""")
 def stable_ids(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", X.stable_id("customer", F.col("c_custkey"), F.col("c_mktsegment"), namespace=NAMESPACE).alias("id"))
 
@@ -96,10 +97,9 @@ def dixon_coles_moneyline(t: Tables) -> DataFrame:
     return _outcomes(_grid(t, F.col("dixon_coles_rho")))
 
 
-@query(f"with {CELLS.format(tau=TAU)}, z as (select prediction_id, sum(p) z from cells group by 1) select prediction_id, h home, a away, {M6.format('p / z')} p from cells join z using (prediction_id) where h <= 3 and a <= 3")
+@query(f"with {CELLS.format(tau=TAU)}, z as (select prediction_id, sum(p) z from cells group by 1) select prediction_id, h home, a away, {M6.format('p / z')} p from cells join z using (prediction_id)")
 def score_grid_cells(t: Tables) -> DataFrame:
-    low = _grid(t, F.col("dixon_coles_rho")).where("h <= 3 and a <= 3")
-    return low.select("prediction_id", F.col("h").cast("bigint").alias("home"), F.col("a").cast("bigint").alias("away"), micro("p").alias("p"))
+    return _grid(t, F.col("dixon_coles_rho")).select("prediction_id", F.col("h").cast("bigint").alias("home"), F.col("a").cast("bigint").alias("away"), micro("p").alias("p"))
 
 
 @query(f"""with {CELLS.format(tau='1')}, tot as (select prediction_id, h + a k, sum(p) p from cells group by all), cdf as (select prediction_id, k, sum(p) over (partition by prediction_id order by k) / sum(p) over (partition by prediction_id) f from tot)
@@ -193,13 +193,13 @@ def prequential_scales(t: Tables) -> DataFrame:
 
 @query()
 def state_replay_goals(t: Tables) -> DataFrame:
-    return replay.state_replay(matches(t).withColumn("neutral", F.lit(False)), F.lit(0), replay.ReplaySpec())
+    return replay.state_replay(replay.coupled(cut(matches(t).withColumn("neutral", F.lit(False)))), F.col("group"), replay.ReplaySpec())
 
 
 @query()
 def state_replay_corners(t: Tables) -> DataFrame:
     spec = replay.ReplaySpec(level=1.6094379, level_sd=0.2, level_half_life=365.0, home=0.08, home_sd=0.15, low=0.2, high=20.0, defence_sign=1)
-    return replay.state_replay(matches(t).withColumn("neutral", F.col("fixture_id") % 10 == 0), F.lit(0), spec)
+    return replay.state_replay(replay.coupled(cut(matches(t).withColumn("neutral", F.col("fixture_id") % 10 == 0))), F.col("group"), spec)
 
 
 @query(f"with {CELLS.format(tau='1')}, g as (select prediction_id, h, a, p, h > a r, h = a d, p * exp(0.1 * h - 0.05 * a) q from cells), s as (select *, q / sum(q) over (partition by prediction_id, r, d) * sum(p) over (partition by prediction_id, r, d) / sum(p) over (partition by prediction_id) x from g) select prediction_id, {M6.format('sum(h * x)')} home_mean, {M6.format('sum(x) filter (where r)')} home_win from s group by 1")
@@ -213,14 +213,14 @@ def conditional_tilt(t: Tables) -> DataFrame:
 
 @query(f"select corner_fixture_id, {M6.format('exp(lgamma(total_corners + 8.0) - lgamma(8.0) - lgamma(total_corners + 1) + 8.0 * ln(8.0 / 18.2) + total_corners * ln(10.2 / 18.2))')} p from corner_target")
 def corner_pmf(t: Tables) -> DataFrame:
-    return t.corner_target.select("corner_fixture_id", P.negative_binomial_pmf(F.col("total_corners"), F.lit(10.2), F.lit(8.0)).alias("p")).select("corner_fixture_id", micro("p").alias("p"))
+    return t.corner_target.select("corner_fixture_id", P.negative_binomial(F.col("total_corners"), F.lit(10.2), F.lit(8.0)).alias("p")).select("corner_fixture_id", micro("p").alias("p"))
 
 
 @query(f"with s as (select l_suppkey, avg(l_discount) d, count(*) n from lineitem group by 1), g as (select avg(l_discount) m from lineitem) select l_suppkey, n, {M6.format('(900 * m + n * d) / (900 + n)')} shrunk from s, g")
 def player_shrinkage(t: Tables) -> DataFrame:
-    prior = t.lineitem.agg(F.avg("l_discount")).first()[0] or 0.0
     per = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_discount").alias("d"), F.count(F.lit(1)).alias("n"))
-    return per.withColumn("s", (900 * prior + F.col("n") * F.col("d")) / (900 + F.col("n"))).select("l_suppkey", "n", micro("s").alias("shrunk"))
+    whole = t.lineitem.agg(F.avg("l_discount").alias("m"))  # one row
+    return per.crossJoin(F.broadcast(whole)).withColumn("s", (900 * F.col("m") + F.col("n") * F.col("d")) / (900 + F.col("n"))).select("l_suppkey", "n", micro("s").alias("shrunk"))
 
 
 @query(f"with {TEAM_ROWS}, r as (select *, row_number() over (partition by team order by kick desc, fixture_id desc) rn from tr) select team, {M6.format('avg(scored)')} typical from r where rn <= 20 group by 1")
@@ -260,18 +260,15 @@ def candidate_scoring(t: Tables) -> DataFrame:
 
 @query()
 def mutual_best_match(t: Tables) -> DataFrame:
-    a = t.corner_target.select("competition_id", F.col("corner_fixture_id").alias("l"), F.to_date("kickoff").alias("d"), "home_name", "away_name")
-    b = t.fixture_snapshot.where("snapshot_no = 8").select(F.col("internal_id").alias("r"), F.to_date("kickoff").alias("d"), F.col("home_name").alias("o_home"), F.col("away_name").alias("o_away")).dropDuplicates(["r"])
-    pairs = a.join(b, "d").withColumn("score", (100 - 10 * F.least(F.levenshtein("home_name", "o_home"), F.lit(10)) + 100 - 10 * F.least(F.levenshtein("away_name", "o_away"), F.lit(10))).cast("int"))
-    return linking.mutual_best(pairs, ["d"], "l", "r", "score", 120, 25).select("l", "r", "score")
-
-
-@query("""with k as (select lower(trim(home_name)) n, min(internal_id) id, count(distinct internal_id) c from fixture_record group by 1) select corner_fixture_id, case when c = 1 then 'natural' else 'created' end as method from corner_target left join k on n = lower(trim(home_name))""")
-def resolve_get_or_create(t: Tables) -> DataFrame:
-    rows = t.corner_target.select("corner_fixture_id", F.lower(F.trim("home_name")).alias("n"))
-    entities = t.fixture_record.select(F.lower(F.trim("home_name")).alias("n"), F.col("internal_id").alias("entity_id"))
-    known = t.fixture_record.where("1 = 0").select(F.col("internal_id").alias("corner_fixture_id"), F.col("internal_id").alias("entity_id"))
-    return linking.resolve(rows, ["corner_fixture_id"], ["n"], known, entities, X.stable_id("fixture", F.col("corner_fixture_id"), namespace=NAMESPACE)).select("corner_fixture_id", "method")
+    """Corner rows and fixtures of a day, as last delivered, that are each other's best by their names. Pairs meet by a
+    word of four letters or more that both home or both away names have."""
+    words = lambda c: F.filter(F.split(X.ascii_name(F.col(c)), " "), lambda w: F.length(w) >= 4)
+    keys = F.explode(F.array_distinct(F.concat(F.transform(words("home_name"), lambda w: F.concat(F.lit("h"), w)), F.transform(words("away_name"), lambda w: F.concat(F.lit("a"), w)))))
+    side = lambda df, i, o: df.where("kickoff is not null").select(F.col(i).alias(o), F.to_date("kickoff").alias("d"), F.col("home_name").alias(f"{o}h"), F.col("away_name").alias(f"{o}a"), keys.alias("word"))
+    order = [F.desc("snapshot_no"), F.desc("loaded_at"), F.desc_nulls_last("kickoff"), F.desc("home_name"), F.desc("away_name")]
+    pairs = side(t.corner_target, "corner_fixture_id", "l").join(side(asof.latest_per_key(t.fixture_snapshot, ["internal_id"], order), "internal_id", "r"), ["d", "word"]).drop("word").distinct()
+    near = lambda a, b: 100 - 10 * F.least(F.levenshtein(a, b), F.lit(10))
+    return linking.mutual_best(pairs.withColumn("score", (near("lh", "rh") + near("la", "ra")).cast("int")), ["d"], "l", "r", "score", 120, 25).select("l", "r", "score")
 
 
 @query()
@@ -284,12 +281,13 @@ def ledger_hash_chain(t: Tables) -> DataFrame:
     return chain.join(ledger.broken_links(chain, "fold_key").select("fold_key"), "fold_key", "left_anti")
 
 
-@query()
+@query("""with h as (select sha256(to_json({'away_goals': away_goals, 'fixture_id': fixture_id, 'home_goals': home_goals, 'target_row_id': target_row_id})::varchar) h from score_target), c as (select count(*) n, sum(('0x' || substr(h, 1, 15))::bigint) a, sum(('0x' || substr(h, 16, 15))::bigint) b, sum(('0x' || substr(h, 31, 15))::bigint) d from h)
+    select n "rows", sha256(concat_ws('|', n, a, b, d)) digest from c""")
 def table_digests(t: Tables) -> DataFrame:
     return ledger.table_digest(t.score_target.select("target_row_id", "fixture_id", "home_goals", "away_goals"), ["target_row_id", "fixture_id", "home_goals", "away_goals"])
 
 
-@query()
+@query("""with p as (select payload from raw_match_payload where json_valid(payload)) select path, present, filled from (""" + " union all ".join(f"select '{x}' path, count(*) filter (where json_exists(payload, '$.{x}')) present, count(*) filter (where json_exists(payload, '$.{x}') and json_type(payload, '$.{x}') <> 'NULL') filled from p" for x in ("fixture.id", "lineups", "players", "statistics", "score.fulltime.home")) + ")")
 def field_coverage(t: Tables) -> DataFrame:
     return coverage(t.raw_match_payload, "payload", ["fixture.id", "lineups", "players", "statistics", "score.fulltime.home"])
 
@@ -301,8 +299,7 @@ def _stream(t: Tables, name: str) -> DataFrame:
 
 
 def _run(df: DataFrame, mode: str) -> DataFrame:
-    name = f"s_{uuid.uuid4().hex}"
-    return stream.run_to_memory(df, name, mode, f"{checkpoint_dir(df.sparkSession)}/streams/{name}")
+    return stream.run_to_table(df, f"{checkpoint_dir(df.sparkSession)}/tidemark-{df.sparkSession.sparkContext.applicationId}/streams/{uuid.uuid4().hex}", mode)
 
 
 @query("select event_id from events")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import probability as P
 from tidemark.functions import text as X
-from tidemark.operators import asof, grid, ledger, upsert
+from tidemark.operators import asof, ledger, upsert
 from tidemark.plans.registry import Registry, Tables
 from tidemark.plans.relational import micro
 from tidemark.plans.views import MATCHES, matches
@@ -126,19 +126,12 @@ def whole_word_containment(t: Tables) -> DataFrame:
     return t.corner_target.select("corner_fixture_id", X.contains_words(X.ascii_name(F.col("home_name")), F.lit("u21")).alias("second_side"))
 
 
-@query()
+@query("select target_row_id, sha256(to_json({'away_goals': away_goals, 'fixture_id': fixture_id, 'home_goals': home_goals, 'season_id': season_id, 'target_row_id': target_row_id})::varchar) sha256 from score_target")
 def row_hashes(t: Tables) -> DataFrame:
     cols = ["target_row_id", "fixture_id", "home_goals", "away_goals", "season_id"]
     return t.score_target.select("target_row_id", ledger.row_hash(cols).alias("sha256"))
 
 
-@query()
-def most_likely_scores(t: Tables) -> DataFrame:
-    """The three likeliest scores of every prediction."""
-    cells = grid.score_rows(t.walk_forward_prediction, ["prediction_id"], F.col("expected_home_goals"), F.col("expected_away_goals"), F.col("dixon_coles_rho"))
-    return asof.latest_per_key(cells, ["prediction_id"], [F.desc("p"), F.col("h"), F.col("a")], 3)
-
-
 @query()
 def compatible_player_names(t: Tables) -> DataFrame:
     """Pairs of spellings of one fixture's home side that can be the same name."""

@@ -133,13 +133,6 @@ def residual_inequality_join(t: Tables) -> DataFrame:
     return per.select("l_orderkey", ((F.col("s") * F.col("s") - F.col("q")) / 2).cast("bigint").alias("pairs")).where("pairs > 0")
 
 
-@query("""with a as (select internal_id, max(status) s from fixture_snapshot where snapshot_no = 3 group by 1), b as (select internal_id, max(status) s from fixture_snapshot where snapshot_no = 4 group by 1)
-    select internal_id, case when a.internal_id is null then 'opened' when b.internal_id is null then 'resolved' else 'updated' end transition from a full join b using (internal_id) where a.internal_id is null or b.internal_id is null or a.s is distinct from b.s""")
-def full_outer_diff(t: Tables) -> DataFrame:
-    at = lambda n: t.fixture_snapshot.where(F.col("snapshot_no") == n).groupBy("internal_id").agg(F.max("status").alias("s"))
-    return checks.transitions(at(3), at(4), ["internal_id"], "s")
-
-
 @query("""select 'negative_balance' rule, 'warning' severity, 'customer' entity_type, cast(c_custkey as varchar) entity_id from customer where c_acctbal < 0
     union all select 'order_without_lines', 'error', 'order', cast(o_orderkey as varchar) from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)
     union all select 'incomplete_target', 'error', 'target', cast(target_row_id as varchar) from score_target where home_goals is null or away_goals is null
@@ -299,12 +292,6 @@ def upsert_coalesce(t: Tables) -> DataFrame:
     return upsert.upsert(load(0, "first"), load(1, "last"), ["fixture_id"], {"home_xg": "coalesce_new", "home_shots": "coalesce_old", "attempts": "increment"})
 
 
-@query("with r as (select fixture_id, information_state, prediction_id, row_number() over (partition by fixture_id, information_state order by evaluation_version, prediction_id) rn from walk_forward_prediction) select fixture_id, information_state, prediction_id from r where rn = 1")
-def first_write_wins(t: Tables) -> DataFrame:
-    p = t.walk_forward_prediction.select("fixture_id", "information_state", "prediction_id", "evaluation_version")
-    return upsert.append_first(p.where("1 = 0"), p, ["fixture_id", "information_state"], [F.col("evaluation_version"), F.col("prediction_id")]).select("fixture_id", "information_state", "prediction_id")
-
-
 @query("with k as (select s_nationkey, min(s_suppkey) new_id from supplier group by 1), mp as (select s_suppkey old_id, new_id from supplier join k using (s_nationkey)) select new_id l_suppkey, count(*) n from lineitem join mp on old_id = l_suppkey group by 1")
 def rekey_merge(t: Tables) -> DataFrame:
     _, mapping = upsert.merge_entities(t.supplier, "s_suppkey", ["s_nationkey"], ["s_name"])

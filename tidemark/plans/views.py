@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import latest_per_key
 from tidemark.plans.registry import Tables
 
 
@@ -17,10 +16,8 @@ def minutes(column: str) -> Column:
 def matches(t: Tables) -> DataFrame:
     """``fixture_id, home, away, competition, kick`` (minutes) ``, home_goals, away_goals``: an order is a match of its
     customer's and its first line's supplier's nations."""
-    first = latest_per_key(
-        t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"),
-        ["l_orderkey"], [F.col(c) for c in ("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")],
-    )
+    line = F.min(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")).alias("l")
+    first = t.lineitem.groupBy("l_orderkey").agg(line).select("l_orderkey", "l.*")
     o = t.orders.select("o_orderkey", "o_custkey", minutes("o_orderdate").alias("day"))
     return (
         o.join(first, F.col("l_orderkey") == F.col("o_orderkey"))

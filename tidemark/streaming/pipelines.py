@@ -104,3 +104,16 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint
         writer = writer.option("checkpointLocation", checkpoint)
     writer.start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is available into a table under ``path``: what each batch adds, changes (``update``:
+    the later batches' rows beside the earlier ones) or, where ``complete``, the last batch's whole result. A batch
+    that is delivered again writes its own folder again."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={0 if mode == 'complete' else batch_id}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/data")
