@@ -65,16 +65,16 @@ def lifecycle(rows: DataFrame, delivery: str, entity: str, rules: Mapping[str, C
     """``rule, entity, delivery, event``: issues that named conditions find in successive deliveries. One is ``opened``
     where it is first found, ``resolved`` at the next delivery without it and ``reopened`` when it comes back.
     Deliveries are numbered from 1 in order; one scan evaluates all rules."""
-    order = rows.select(delivery).distinct().withColumn("i", F.row_number().over(W.orderBy(delivery)))  # one row a delivery
+    order = rows.select(delivery).distinct().withColumn("_i", F.row_number().over(W.orderBy(delivery)))  # one row a delivery
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
     hits = rows.select(delivery, entity, F.explode(found).alias("rule")).distinct().join(order, delivery)
-    w = W.partitionBy("rule", entity).orderBy("i")
-    placed = hits.withColumn("_before", F.lag("i").over(w)).withColumn("_after", F.lead("i").over(w)).join(order.agg(F.max("i").alias("_last")), F.lit(True))
+    w = W.partitionBy("rule", entity).orderBy("_i")
+    placed = hits.withColumn("_before", F.lag("_i").over(w)).withColumn("_after", F.lead("_i").over(w)).join(order.agg(F.max("_i").alias("_last")), F.lit(True))
     events = F.array(
-        F.when(F.col("_before").isNull(), F.struct(F.col("i").alias("delivery"), F.lit("opened").alias("event"))).when(F.col("_before") < F.col("i") - 1, F.struct(F.col("i").alias("delivery"), F.lit("reopened").alias("event"))),
-        F.when((F.col("_after").isNull() | (F.col("_after") > F.col("i") + 1)) & (F.col("i") < F.col("_last")), F.struct((F.col("i") + 1).alias("delivery"), F.lit("resolved").alias("event"))),
+        F.when(F.col("_before").isNull(), F.struct(F.col("_i").alias("delivery"), F.lit("opened").alias("event"))).when(F.col("_before") < F.col("_i") - 1, F.struct(F.col("_i").alias("delivery"), F.lit("reopened").alias("event"))),
+        F.when((F.col("_after").isNull() | (F.col("_after") > F.col("_i") + 1)) & (F.col("_i") < F.col("_last")), F.struct((F.col("_i") + 1).alias("delivery"), F.lit("resolved").alias("event"))),
     )
-    return placed.select("rule", entity, F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("rule", entity, F.col("e.delivery").cast("long").alias("delivery"), "e.event")
+    return placed.select("rule", entity, F.explode(F.filter(events, lambda e: e.isNotNull())).alias("_e")).select("rule", entity, F.col("_e.delivery").cast("long").alias("delivery"), "_e.event")
 
 
 def reconciled(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:

@@ -34,7 +34,8 @@ def shape_profile(df: DataFrame, count: str, shapes: Sequence[float]) -> DataFra
 
 def fit_biases(df: DataFrame, probabilities: Sequence[str], outcome: str, steps: int = 30, tolerance: float = 1e-10) -> tuple[list[float], list[float]]:
     """Biases of the classes' log odds, the first zero, of least log loss, and the mean probabilities they give, which
-    are the observed shares. A Newton step is one aggregation. A class that never occurs has no finite bias and fails."""
+    are the observed shares. A Newton step is one aggregation. A class that never occurs gets a bias at which
+    next to nothing is left of it."""
     n, bias = len(probabilities), np.zeros(len(probabilities))
     for _ in range(steps):
         raised = [F.greatest(F.col(p), F.lit(FLOOR)) * math.exp(b) for p, b in zip(probabilities, bias.tolist(), strict=True)]

@@ -59,14 +59,15 @@ def commit(spark: SparkSession, folder: str, records: Iterable[dict]) -> str:
     fs.mkdirs(path(folder))
     files = sorted(str(f.getPath().toString()) for f in fs.listStatus(path(folder)) if f.getPath().getName().endswith(".jsonl"))
     head = json.loads(spark.read.text(files[-1]).withColumn("place", F.monotonically_increasing_id()).agg(F.max_by("value", "place")).first()[0])["own_sha256"] if files else GENESIS
-    rows = append(records, head)
+    if not (rows := append(records, head)):
+        return head
     writing = f"{folder}/writing-{len(files):09d}"
     out = fs.create(path(writing), True)
     out.write(bytearray("".join(json.dumps(r, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n" for r in rows).encode()))
     out.close()
     if not fs.rename(path(writing), path(f"{folder}/{len(files):09d}.jsonl")):
         raise OSError(f"{writing} can't be put in place")
-    return rows[-1]["own_sha256"] if rows else head
+    return rows[-1]["own_sha256"]
 
 
 def read(spark: SparkSession, folder: str, schema: str) -> DataFrame:

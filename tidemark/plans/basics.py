@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +15,7 @@ from tidemark.operators import checks, joins, ledger
 from tidemark.plans.registry import Registry, Tables
 from tidemark.session import checkpoint_dir
 from tidemark.sources import artifacts, readers
+from tidemark.streaming import pipelines as stream
 
 R = Registry()
 query = R.query
@@ -254,13 +257,77 @@ def markdown_report(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(line,) for line in checks.markdown(per, {"model_key": "model", "n": "n"})], "line string")
 
 
-def is_open(column: str) -> Column:
-    return F.coalesce(F.upper(F.trim(column)).isin("NS", "TBD"), F.lit(True))
-
-
 @query("""with c as (select snapshot_no, internal_id, row_number() over (partition by snapshot_no, internal_id order by loaded_at desc) rn, snapshot_at from fixture_snapshot), m as (select max(snapshot_at) now from fixture_snapshot)
     select snapshot_no, count(*) fixtures, (select epoch(now) from m) - epoch(max(snapshot_at)) age_seconds, (select epoch(now) from m) - epoch(max(snapshot_at)) > 30 * 86400 stale from c where rn = 1 group by snapshot_no""")
 def snapshot_freshness(t: Tables) -> DataFrame:
     per = t.fixture_snapshot.groupBy("snapshot_no").agg(F.count_distinct("internal_id").alias("fixtures"), F.unix_micros(F.max("snapshot_at")).alias("at"))
     age = (F.col("now") - F.col("at")) / 1e6
     return per.crossJoin(per.agg(F.max("at").alias("now"))).select("snapshot_no", "fixtures", age.alias("age_seconds"), (age > 30 * 86400).alias("stale"))  # one row a delivery
+
+
+@query("select fixture_id, max(epoch_us(prediction_at)) due_us from walk_forward_prediction where prediction_at <= timestamptz '2023-06-01 00:00:00+00' group by 1")
+def latest_due_stages(t: Tables) -> DataFrame:
+    """Of all stages that are due by now only the latest of each fixture runs."""
+    stages = t.walk_forward_prediction.select("fixture_id", F.unix_micros("prediction_at").alias("due_us"))
+    return stream.latest_due(stages, ["fixture_id"], "due_us", 1_685_577_600_000_000).select("fixture_id", "due_us")
+
+
+@query("select prediction_id from walk_forward_prediction")
+def asserted_predictions(t: Tables) -> DataFrame:
+    """Predictions that passed the fail-closed checks: unique ids, probabilities that sum to one, none after its time."""
+    p = checks.assert_unique(t.walk_forward_prediction, ["prediction_id"])
+    each = p.select("prediction_id", F.explode(F.array("home_win_probability", "draw_probability", "away_win_probability")).alias("p"))
+    checks.assert_simplex(each, ["prediction_id"], "p", 0.001)
+    checks.assert_before(p.select(F.unix_micros("prediction_at").alias("us")), "us", 4_102_444_800_000_000)
+    return p.select("prediction_id")
+
+
+@query("select * from (values ('horizon_hours', 24.0), ('prior_goals', 1.25)) v(name, number)")
+def checked_config(t: Tables) -> DataFrame:
+    """Settings read from JSON, refused where they break an invariant."""
+    path = scratch(t, "config").removeprefix("file:")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"horizon_hours": 24.0, "prior_goals": 1.25}, f)
+    config = readers.checked_config(path, {"horizon_hours": lambda x: x > 0, "prior_goals": lambda x: 0 < x < 10})
+    return t.spark.createDataFrame(sorted(config.items()), "name string, number double")
+
+
+@query("select * from (values ('score_target', true), ('corner_target', true), ('data_source', false)) v(table_name, reproduced)")
+def manifest_check(t: Tables) -> DataFrame:
+    """Tables against the digests that a manifest has of them; one is given as another table's."""
+    digest = lambda df: ledger.table_digest(df, df.columns).first()["digest"]
+    columns = {"score_target": ["target_row_id", "home_goals"], "corner_target": ["corner_fixture_id", "home_corners"], "data_source": ["source_code"]}
+    actual = {n: digest(getattr(t, n).select(*c)) for n, c in columns.items()}
+    manifest = {n: digest(getattr(t, n).select(*c).repartition(3)) for n, c in columns.items()} | {"data_source": actual["score_target"]}
+    return t.spark.createDataFrame([(n, manifest[n] == actual[n]) for n in columns], "table_name string, reproduced boolean")
+
+
+def _events(t: Tables) -> DataFrame:
+    path = f"{t.sf_dir}/events.parquet"
+    df = stream.parquet_stream(t.spark, path if os.path.isdir(path) else f"{t.sf_dir}/events*.parquet", t.events.schema)
+    return df.withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@query("select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) rn from events) where rn = 1")
+def stream_upserts(t: Tables) -> DataFrame:
+    """A stream merged batch by batch into a versioned table; each key ends with its latest row."""
+    path = scratch(t, "upserts")
+    order = F.struct("ts", "event_id").alias("o")
+    sink = stream.upsert_sink(t.spark, path, ["user_id", "event_type"], "o", {"event_id": "replace"})
+    _events(t).select("user_id", "event_type", "event_id", order).writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(stream.latest_version(t.spark, path))
+
+
+@query("""with o as (select event_type, epoch_us(ts) us from events), g as (select *, coalesce(us - lag(us) over (partition by event_type order by us) >= 1800000000, true)::int fresh from o), s as (select *, sum(fresh) over (partition by event_type order by us rows between unbounded preceding and current row) k from g)
+    select event_type, min(us) start_us, max(us) + 1800000000 end_us, count(*) n from s group by event_type, k""")
+def stream_sessions(t: Tables) -> DataFrame:
+    """Runs of events with gaps below half an hour."""
+    found = stream.run_to_table(stream.sessions(_events(t), "at", "30 minutes", ["event_type"], "1 day"), scratch(t, "sessions"), "complete")
+    return found.select("event_type", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
+
+
+@query("select event_type, (epoch_us(ts) // 10800000000 - i.range) * 10800000000 start_us, count(*) n from events, range(2) i group by all")
+def stream_sliding_windows(t: Tables) -> DataFrame:
+    found = stream.run_to_table(stream.sliding(_events(t), "at", "6 hours", "3 hours", ["event_type"], "1 day"), scratch(t, "sliding"), "complete")
+    return found.select("event_type", F.unix_micros("window_start").alias("start_us"), "n")

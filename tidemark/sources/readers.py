@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -84,3 +84,14 @@ def field_coverage(df: DataFrame, payload: str, paths: Sequence[str]) -> DataFra
 def json_config(path: str | Path) -> dict:
     """A JSON document of the driver's file system."""
     return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def checked_config(path: str | Path, invariants: Mapping[str, Callable[[object], bool]]) -> dict:
+    """:func:`json_config` with exactly the named settings, each of which holds its invariant; else an error names it."""
+    config = json_config(path)
+    if odd := sorted(set(config) ^ set(invariants)):
+        raise ValueError(f"missing or unknown: {odd}")
+    for name, holds in invariants.items():
+        if not holds(config[name]):
+            raise ValueError(f"{name} can't be {config[name]!r}")
+    return config

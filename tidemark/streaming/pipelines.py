@@ -76,6 +76,14 @@ def upsert_sink(spark: SparkSession, path: str, keys: Sequence[str], order: str,
     return write
 
 
+def latest_version(spark: SparkSession, path: str) -> str:
+    """The folder of the last whole version that an :func:`upsert_sink` wrote under ``path``."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = [f.getPath() for f in fs.listStatus(Path(path)) if fs.exists(Path(f"{f.getPath().toString()}/_SUCCESS"))]
+    return max(whole, key=lambda p: int(p.getName()[1:])).toString()
+
+
 SEEN = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("last", T.DoubleType())])
 
 
