@@ -44,7 +44,7 @@ def snapshot_changes(
     key: str,
     loaded: str,
     fields: dict[str, Column],
-    chunk_rows: int = 8,
+    chunk_rows: int = 4,
     ranges: int | None = None,
 ) -> DataFrame:
     """``snapshot, key, change_kind, changed_fields`` for every record that was added, removed or changed against the
