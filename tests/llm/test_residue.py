@@ -6,14 +6,14 @@ from tidemark.llm.residue import SCHEMA, classify, messages, mined_templates, re
 REPORT = "Oldel Rovers beat Mirvor Town 2-1 at the Korsal Ground after a lively second half. A crowd of 2138 watched."
 
 
-@pytest.mark.parametrize("slot", ["{{ home_team }}", "{{home_team}}", "${count}", "#{venue}", "{% shots %}", "<%= shots %>", "[[odds]]", "[PLAYER NAME]", "[INSERT HOME XG]", "<MATCH_DATE>", "&lt;venue&gt;", "%(odds)s", "%MINUTE%", "@@MINUTE@@", "__MINUTE__", "$VENUE$", "{1}", "{venue}", ":home_xg:", "(player name goes here)", "XXXX", "NaN", "undefined", "[object Object]"])
+@pytest.mark.parametrize("slot", ["{{ home_team }}", "{{home_team}}", "${count}", "#{venue}", "{% shots %}", "<%= shots %>", "[[odds]]", "[PLAYER NAME]", "[INSERT HOME XG]", "<MATCH_DATE>", "&lt;venue&gt;", "%(odds)s", "%MINUTE%", "@@MINUTE@@", "__MINUTE__", "$VENUE$", "{1}", "{venue}", ":home_xg:", "(player name goes here)", "XXXX", "NaN", "undefined", "[object Object]", "«VENUE»", "«PLAYER_NAME»", "⟨home_team⟩", "【MATCH_DATE】", "<<away team>>", "{$odds}", "@{odds}", "[% odds %]", "((HOME_TEAM))", "*|ODDS|*", "%%odds%%", "[home_team]", "(home_team)", ":HOME_XG:", "$home_team", "#HOME_TEAM#", "%1$s"])
 def test_slots(slot):
     assert unfilled_slots(f"{REPORT} The draw was priced at {slot} by 4 books.") == [slot]
 
 
 @pytest.mark.parametrize(
     "text",
-    ["The template writes `{{home_team}}` where the name belongs.", "A script used the format %d-%d for scores.", "<p>At <b>12:30:00</b> local time</p><br/>", 'The field {"elapsed": 19, "extra": 8} gives the minute.', "{home, draw, away} has probabilities 0.1", "The role was undefined before.".replace("undefined before", "left undefined"), "[Correction, 1 Apr 2021: an earlier version was wrong.]", "[HOME] [FIXTURES]", "", "10:15:20 and http://x:y:z"],
+    ["The template writes `{{home_team}}` where the name belongs.", "A script used the format %d-%d for scores.", "<p>At <b>12:30:00</b> local time</p><br/>", 'The field {"elapsed": 19, "extra": 8} gives the minute.', "{home, draw, away} has probabilities 0.1", "The role was undefined before.".replace("undefined before", "left undefined"), "[Correction, 1 Apr 2021: an earlier version was wrong.]", "[HOME] [FIXTURES]", "", "10:15:20 and http://x:y:z", "Er sagte «Tor» und « nicht PSG », sie *so* #eins =zwei= (drei) a_b c:d:e $20 50% 5%d"],
 )
 def test_no_slots(text):
     assert unfilled_slots(text) == []

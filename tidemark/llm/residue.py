@@ -33,12 +33,16 @@ ELEMENTS = frozenset(
     "a abbr address article aside audio b base blockquote body br button canvas caption center cite code col colgroup data dd del details dfn div dl dt em embed fieldset figcaption figure font footer form frame h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol option p param picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split()
 )
 NAME = r"[A-Za-z][A-Za-z0-9]*(?:[_ .-][A-Za-z0-9]+){0,4}"
+CAPITALS, SNAKE = r"[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)*", r"[a-z][a-z0-9]*(?:_[a-z0-9]+)+"
 #: Every form starts with a literal character, which lets the search skip from one such character to the next.
 SLOT = re.compile(
     rf"\{{\{{\s*[\w .|]+\s*\}}\}}|\{{%\s*[\w .|=]+\s*%\}}|\{{(?:[A-Za-z]+(?:_[A-Za-z]+)*|\d{{1,2}})\}}|<%[=-]?\s*[\w .]+\s*%>|<[A-Za-z][A-Za-z0-9]*(?:[_ ][A-Za-z0-9]+){{0,3}}>"
     rf"|\$\{{[\w .]+\}}|\$[A-Z]+(?:_[A-Z]+)*\$|#\{{[\w .]+\}}|\[\[\s*{NAME}\s*\]\]|\[(?:INSERT|insert|Insert)\s[^\[\]]+\]|\[[A-Z][A-Z0-9]*(?:[_ ][A-Z0-9]+){{0,4}}\]|\[object \w+\]"
     rf"|%\([A-Za-z_]\w*\)[sdifr]|%[A-Za-z]+(?:_[A-Za-z]+)*%|@@[A-Za-z_]+@@|__[A-Za-z]+(?:_[A-Za-z]+)*__|&lt;[A-Za-z][A-Za-z0-9_ ]*&gt;|:[a-z]+(?:_[a-z]+)*:(?![\w/])|\((?:[a-z]+ ){{1,4}}goes here\)"
     rf"|XXX+\b|NaN\b|undefined\b"
+    # other wrappings of a field's name, which is told from words by capitals or underscores
+    rf"|[«‹⟨⟪〈《【〔｛＜]\s?(?:{CAPITALS}|{SNAKE})\s?[»›⟩⟫〉》】〕｝＞]|<<\s?(?:{CAPITALS}|[a-z]+(?:[_ ][a-z]+)*)\s?>>|\{{[$=:@]\s?[\w.]+\}}|@\{{[\w .]+\}}|\[%-?\s*[\w .]+\s*-?%\]|\(\((?:{CAPITALS}|{SNAKE})\)\)"
+    rf"|\*\|[A-Z]\w*\|\*|%%\w+%%|\[{SNAKE}\]|\((?:{SNAKE}|[A-Z]+(?:_[A-Z0-9]+)+)\)|:[A-Z]+(?:_[A-Z]+)+:|\${SNAKE}\b|\$[A-Z]+(?:_[A-Z]+)+\b|([|#=~^!+*]{{1,2}})[A-Z]+(?:_[A-Z]+)+\1|%\d\$[sd]"
 )
 QUOTED = re.compile(r"`[^`\n]+`")
 NAVIGATION = frozenset({"HOME", "FIXTURES", "TABLES", "MENU", "SEARCH", "CONTACT", "EDIT", "SIC", "CITATION NEEDED"})
@@ -69,7 +73,7 @@ NOTICE = re.compile(
 CODE = r"(?:4\d\d|5\d\d)"
 STATUS = r"(?:not found|forbidden|bad gateway|bad request|gateway time ?out|service unavailable|internal server error|too many requests|access denied|unauthorized|gone|no encontrada|nicht gefunden|introuvable|nao encontrada|acceso denegado|zugriff verweigert|acces refuse|acesso negado|request timeout|payload too large)"
 ERROR = re.compile(
-    rf"^(?:http |error |fehler |erreur |erro )+{CODE}{gap(10)}$|^(?:http |error |fehler |erreur |erro )*{CODE} {STATUS}\b|^(?:page|seite|pagina) {STATUS}\b|^(?:\S+ ){{0,5}}{STATUS}(?: {CODE})?$|\berror {CODE}\b|^whoops\b|^oops\b|^sorry\b|\bwe are sorry\b|^an error occurred\b|^unexpected (?:problem|error)\b|^session expired\b|^article unavailable\b"
+    rf"^(?:http |error |fehler |erreur |erro )+{CODE}{gap(10)}$|^(?:http |error |fehler |erreur |erro )*{CODE} {STATUS}\b|^(?:page|seite|pagina) {STATUS}\b|^(?:internal server error|bad gateway|service unavailable|too many requests|gateway time ?out|request timeout|bad request)\b|^(?:\S+ ){{0,5}}{STATUS}(?: {CODE})?$|\berror {CODE}\b|^whoops\b|^oops\b|^sorry\b|\bwe are sorry\b|^an error occurred\b|^unexpected (?:problem|error)\b|^session expired\b|^article unavailable\b"
     r"|\b(?:cannot|could not|can not) be (?:reached|found|loaded|shown|displayed|opened)\b|\bfailed to load\b|\btook too long to (?:answer|respond)\b|\b(?:is )?down for maintenance\b|\bis no longer available\b|\bno longer exists\b|\bexistiert nicht mehr\b|\bcan only be opened by\b|\bhas been (?:removed|deleted|moved)\b|\bwas removed by its publisher\b"
     r"|^(?:erreur|interner? ?(?:server)?fehler|error|erro) intern[eo]\b|\bune erreur est survenue\b|\bein fehler ist aufgetreten\b|\b(?:se ha producido|ha ocurrido|ocorreu) um? ?n? ?erro?r?\b|\bsomething went wrong\b|\bdid not (?:answer|respond) in time\b|\breturned an invalid response\b|\bservers? (?:are|is) busy\b|\bexceeded the (?:request|rate) limit\b|\bsession has (?:timed out|expired)\b|\bsign in again\b|\bdo(?:es)? not have (?:permission|access)\b|\bnot available in your (?:region|country)\b"
     r"|\bno existe o ha cambiado\b|\bsu sesion\b|\bsua sessao\b|\bentre novamente\b|\btrouvee? ou\b|\bn existe (?:plus|pas)\b|\bnicht (?:gefunden|verfugbar)\b|\bretry in a few\b|\bthe (?:server|page|request) (?:encountered|you requested|could not)\b|\baccess (?:is|was|has been)? ?denied$|\byou are not (?:authorized|allowed)\b|\bplease log ?in\b"
