@@ -157,24 +157,27 @@ def _literals() -> tuple[frozenset[str], frozenset[str]]:
 
 
 LITERALS, BEGINNINGS = _literals()
+#: Words of the patterns that are found in any text: no pattern consists of these alone.
+PLAIN_WORDS = frozenset("a add an and are as at be by can could did do does for has have if in is it may more no not of on one or out own so that the this to turn up was we with you your un um la le el o e er es re et en de du da der die das the then there they these three".split())
 
 
 @functools.lru_cache(maxsize=200_000)
 def is_cue(token: str) -> bool:
-    """Whether a pattern of a verdict could match any of the token: all that begins like a literal part of one does."""
+    """Whether a pattern of a verdict could match any of the token: it begins with a literal part of one, or is the
+    beginning of one."""
     if token == ANY:
         return False
-    return any(w in LITERALS or w[:3] in BEGINNINGS or CODES.fullmatch(w) or set(w) == {"x"} for w in re.findall(r"[^\W_]+", plain(token)))
+    return any(w in LITERALS or w in BEGINNINGS or any(w[:n] in LITERALS for n in range(3, len(w))) or CODES.fullmatch(w) or set(w) == {"x"} for w in re.findall(r"[^\W_]+", plain(token)))
 
 
 def leaf_of(sequence: list[str], depth: int = 3) -> int | None:
     """The leaf of the tree that a sequence belongs to: by its length, ``depth`` leading tokens and its cue words with
-    their places. Without a cue word there is none: such a sequence is its own template and can only be content, or
-    furniture where it has no word at all."""
-    cues = [f"{i} {t}" for i, t in enumerate(sequence) if is_cue(t)]
-    if not cues and any(t != ANY for t in sequence):
+    their places. Without a cue word, but for plain ones, there is none: such a sequence is its own template and can only
+    be content, or furniture where it has no word at all."""
+    cues = [(i, t) for i, t in enumerate(sequence) if is_cue(t)]
+    if all(t in PLAIN_WORDS for _, t in cues) and any(t != ANY for t in sequence):
         return None
-    return xxhash.xxh64_intdigest("\n".join([str(len(sequence)), *sequence[:depth], "", *cues])) - 2**63
+    return xxhash.xxh64_intdigest("\n".join([str(len(sequence)), *sequence[:depth], "", *(f"{i} {t}" for i, t in cues)])) - 2**63
 
 
 class Leaf:
