@@ -69,6 +69,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes the tables of the session that cut lineage; frames made before can't be read any more."""
+    for folder in sorted(f for f in _folders if f.endswith(spark.sparkContext.applicationId)):
+        _remove(spark, folder)
+
+
 def cores(spark: SparkSession) -> int:
     """Task slots of the session."""
     return max(1, spark.sparkContext.defaultParallelism)
