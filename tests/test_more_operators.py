@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import probability as P
 from tidemark.functions import text as X
-from tidemark.operators import checks, context, fit, grid, joins, ledger, linking, shares, stats, targets
+from tidemark.operators import asof, checks, context, fit, grid, joins, ledger, linking, shares, stats, targets
 from tidemark.sources import loaders, readers
 
 
@@ -155,3 +155,42 @@ def test_linking_by_name_and_tiers(spark):
     right = spark.createDataFrame([("r1", 110, "oldel"), ("r2", 115, "oldel town fc"), ("r3", 900, "mirvor"), ("r4", 100, "old")], "r string, t long, n string")
     assert [tuple(x) for x in linking.nearest_by_name(left, right, "l", "r", "t", "n", 50, 10).collect()] == [("l1", "r1", 10, True)]
     assert {tuple(x) for x in linking.tiered(left, right, "l", "r", [["t", "n"], ["t"], ["n"]]).collect()} == {("l1", "r4", 2), ("l2", "r4", 2), ("l3", "r4", 2), ("l2", "r3", 3)}
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_spans_change_no_asof_join(spark, inclusive):
+    r = random.Random(4)
+    probes = spark.createDataFrame([(i, r.choice("aab"), r.randrange(-50, 200)) for i in range(80)], "i int, k string, t long")
+    builds = spark.createDataFrame([(r.choice("aabc"), r.randrange(-50, 200), i) for i in range(60)], "k string, t long, v int")
+    run = lambda **o: sorted(map(tuple, asof.asof_join(probes, builds, ["k"], "t", "t", ["v"], inclusive=inclusive, tie=["v"], **o).collect()))
+    assert run() == run(span=7) == run(span=1000) and run(lookback=9) == run(lookback=9, span=5)
+
+
+def test_windows_over_spans(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice("aab"), r.randrange(-40, 300), r.choice([None, 1, 2])) for i in range(120)]
+    df = spark.createDataFrame(rows, "i int, k string, t long, v long")
+    back = {x.i: (x.n, x.s) for x in context.looking_back(df, ["k"], "t", {"n": (F.count(F.lit(1)), 10), "s": (F.sum("v"), 25)}).collect()}
+    sums = {x.i: (x.s, x.n) for x in context.running_before(df, ["k"], "t", {"s": F.col("v"), "n": F.lit(1)}, 30).collect()}
+    last = {x.i: x.last for x in context.last_before(df, ["k"], "t", 30).collect()}
+    assert len(back) == len(sums) == len(last) == 120
+    for i, k, t, _ in rows:
+        mine = [x for x in rows if x[1] == k and x[2] < t]
+        within = [x[3] for x in mine if x[2] >= t - 25 and x[3] is not None]
+        assert back[i] == (sum(x[2] >= t - 10 for x in mine), sum(within) if within else None)
+        assert sums[i] == (sum(x[3] or 0 for x in mine), len(mine))
+        assert last[i] == max((x[2] for x in mine), default=None)
+
+
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_exact_quantiles_by_buckets(spark, buckets):
+    r = random.Random(8)
+    rows = [(r.choice(["a", "a", "b", None]), r.choice([None, 5.0, *(r.random() for _ in range(4))])) for _ in range(400)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {x.k: (x.n, x.median, x.p90, x.p95, x.max) for x in stats.distribution_summary(df, ["k"], "x", buckets).collect()}
+    for k in {k for k, _ in rows}:
+        x = [v for y, v in rows if y == k and v is not None]
+        if x:
+            assert got[k] == pytest.approx((len(x), *np.quantile(x, [0.5, 0.9, 0.95]), max(x)))
+        else:
+            assert got[k] == (0, None, None, None, None)

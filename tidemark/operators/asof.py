@@ -26,10 +26,12 @@ def asof_join(
     inclusive: bool = True,
     tie: Sequence[str] = (),
     lookback: int | None = None,
+    span: int | None = None,
 ) -> DataFrame:
     """Each probe with the ``values`` of the latest build at or (not ``inclusive``) before its time, null where there is
     none or it is older than ``lookback``. One union, one shuffle and one sorted pass, no pairs. Of builds of one time
-    the last in the order of ``tie`` counts."""
+    the last in the order of ``tie`` counts. Keys with very many rows are split into spans of ``span`` time units, the
+    last build of all earlier spans being carried into each; the result is the same."""
     carried = [c for c in probes.columns if c not in key and c != probe_time]
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
     record = F.struct(F.col(build_time).alias("_t"), *values)
@@ -38,7 +40,16 @@ def asof_join(
     rows = probes.select(*key, F.col(probe_time).alias("_at"), F.lit(tag_probe).alias("_tag"), empty.alias("_r"), *carried, *[none(builds, c).alias(f"_k_{c}") for c in tie]).unionByName(
         builds.select(*key, F.col(build_time).alias("_at"), F.lit(tag_build).alias("_tag"), record.alias("_r"), *[none(probes, c).alias(c) for c in carried], *[F.col(c).alias(f"_k_{c}") for c in tie])
     )
-    w = W.partitionBy(*key).orderBy("_at", "_tag", *[f"_k_{c}" for c in tie]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside: list[str] = []
+    if span is not None:
+        rows, inside = rows.withColumn("_span", F.floor(F.col("_at") / span)), ["_span"]
+        order = F.struct("_at", "_tag", *[f"_k_{c}" for c in tie])
+        ends = rows.groupBy(*key, "_span").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), order)).alias("_last"))
+        earlier = W.partitionBy(*key).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+        brought = ends.select(*key, "_span", F.last("_last", ignorenulls=True).over(earlier).alias("_r")).where("_r is not null")
+        nothing = [c for c in rows.columns if c not in (*key, "_span", "_r", "_at", "_tag")]
+        rows = rows.unionByName(brought.select(*key, "_span", "_r", (F.col("_span") * span).cast(rows.schema["_at"].dataType).alias("_at"), F.lit(-1).alias("_tag"), *[none(rows, c).alias(c) for c in nothing]))
+    w = W.partitionBy(*key, *inside).orderBy("_at", "_tag", *[f"_k_{c}" for c in tie]).rowsBetween(W.unboundedPreceding, W.currentRow)
     found = rows.withColumn("_held", F.last("_r", ignorenulls=True).over(w)).where(F.col("_tag") == tag_probe)
     if lookback is not None:
         found = found.withColumn("_held", F.when(F.col("_at") - F.col("_held._t") <= lookback, F.col("_held")))

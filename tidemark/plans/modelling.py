@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import probability as P
 from tidemark.functions import text as X
-from tidemark.operators import asof, fit, grid, ledger, linking, replay, stats
+from tidemark.operators import asof, context, fit, grid, ledger, linking, replay, stats
 from tidemark.plans.registry import Registry, Tables
 from tidemark.plans.relational import mean_micro, micro
 from tidemark.plans.views import TEAM_ROWS, TICKS, matches, team_rows, ticks
@@ -237,8 +237,8 @@ def normalized_shares(t: Tables) -> DataFrame:
 
 @query(f"""with {TEAM_ROWS} select fixture_id, team, cast(coalesce(sum(scored) over w, 0) as bigint) before_scored, count(*) over w before_played from tr window w as (partition by team order by kick range between unbounded preceding and 1 preceding)""")
 def running_player_diag(t: Tables) -> DataFrame:
-    w = W.partitionBy("team").orderBy("kick").rangeBetween(W.unboundedPreceding, -1)
-    return team_rows(t).select("fixture_id", "team", F.coalesce(F.sum("scored").over(w), F.lit(0)).alias("before_scored"), F.count(F.lit(1)).over(w).alias("before_played"))
+    rows = team_rows(t).select("fixture_id", "team", "kick", "scored")
+    return context.running_before(rows, ["team"], "kick", {"before_scored": F.col("scored"), "before_played": F.lit(1).cast("long")}, 525_600).select("fixture_id", "team", "before_scored", "before_played")
 
 
 @query("""with f as (select fixture_id, min(fold_key) mo from walk_forward_prediction group by 1), c as (select mo, count(*) n from f group by 1), r as (select mo, sum(n) over (order by mo) total from c) select min(mo) cutoff, cast(min(total) as bigint) fixtures from r where total >= 300""")
@@ -271,7 +271,11 @@ def mutual_best_match(t: Tables) -> DataFrame:
     return linking.mutual_best(pairs.withColumn("score", (near("lh", "rh") + near("la", "ra")).cast("int")), ["d"], "l", "r", "score", 120, 25).select("l", "r", "score")
 
 
-@query()
+_RECORD = """sha256('{"before_sha256":"' || %s || '","fold_key":"' || p.fold_key || '","loss":' || p.loss || ',"n":' || p.n || '}')"""
+
+
+@query(f"""with recursive p as (select fold_key, count(*) n, {M6.format('avg(moneyline_log_loss)')} loss, row_number() over (order by fold_key) i from walk_forward_prediction group by 1),
+    c as (select i, fold_key, n, loss, repeat('0', 64) before_sha256, {_RECORD % "repeat('0', 64)"} own_sha256 from p where i = 1 union all select p.i, p.fold_key, p.n, p.loss, c.own_sha256, {_RECORD % 'c.own_sha256'} from c join p on p.i = c.i + 1) select fold_key, n, loss, before_sha256, own_sha256 from c""")
 def ledger_hash_chain(t: Tables) -> DataFrame:
     """The chain over monthly summaries; the summaries are aggregated on the cluster, the chain is one row a month."""
     per = t.walk_forward_prediction.groupBy("fold_key").agg(F.count(F.lit(1)).alias("n"), mean_micro("moneyline_log_loss").alias("loss")).orderBy("fold_key")

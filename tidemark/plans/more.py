@@ -132,7 +132,8 @@ def row_hashes(t: Tables) -> DataFrame:
     return t.score_target.select("target_row_id", ledger.row_hash(cols).alias("sha256"))
 
 
-@query()
+@query("""with n as (select distinct internal_id, trim(regexp_replace(lower(strip_accents(replace(home_name, '&', ' and '))), '[^a-z0-9]+', ' ', 'g')) n from fixture_record), p as (select a.internal_id, a.n, b.n o, string_split(a.n, ' ') x, string_split(b.n, ' ') y from n a join n b on b.internal_id = a.internal_id and a.n < b.n)
+    select internal_id, n, o, list_sort(x) = list_sort(y) or (least(len(x), len(y)) >= 2 and x[-1] = y[-1] and left(x[1], 1) = left(y[1], 1) and (length(x[1]) = 1 or length(y[1]) = 1)) or (len(list_intersect(x, y)) = least(len(x), len(y)) and least(len(x), len(y)) >= 2) compatible from p""")
 def compatible_player_names(t: Tables) -> DataFrame:
     """Pairs of spellings of one fixture's home side that can be the same name."""
     names = t.fixture_record.select("internal_id", X.transliterated_name("home_name").alias("n")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, checks, stats, upsert
+from tidemark.operators import asof, checks, context, stats, upsert
 from tidemark.plans.registry import Registry, Tables
 from tidemark.plans.views import MATCHES, TEAM_ROWS, TICKS, matches, team_rows, ticks
 
@@ -39,8 +39,8 @@ def conflicting_observations(t: Tables) -> DataFrame:
 @query(f"""with {TEAM_ROWS} select fixture_id, team, coalesce(kick - max(kick) over (partition by team order by kick range between unbounded preceding and 1 preceding), -1) rest_minutes,
     count(*) over (partition by team order by kick range between 10080 preceding and 1 preceding) last7, count(*) over (partition by team order by kick range between 43200 preceding and 1 preceding) last30 from tr""")
 def rest_congestion(t: Tables) -> DataFrame:
-    w = W.partitionBy("team").orderBy("kick")
-    return team_rows(t).select("fixture_id", "team", F.coalesce(F.col("kick") - F.max("kick").over(w.rangeBetween(W.unboundedPreceding, -1)), F.lit(-1)).alias("rest_minutes"), F.count(F.lit(1)).over(w.rangeBetween(-10080, -1)).alias("last7"), F.count(F.lit(1)).over(w.rangeBetween(-43200, -1)).alias("last30"))
+    recent = context.looking_back(team_rows(t).select("fixture_id", "team", "kick"), ["team"], "kick", {"last7": (F.count(F.lit(1)), 10080), "last30": (F.count(F.lit(1)), 43200)})
+    return context.last_before(recent, ["team"], "kick", 43200).select("fixture_id", "team", F.coalesce(F.col("kick") - F.col("last"), F.lit(-1)).alias("rest_minutes"), "last7", "last30")
 
 
 @query("select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) rn from events) where rn = 1")
@@ -78,9 +78,7 @@ def asof_scalar_argmax(t: Tables) -> DataFrame:
 
 @query(f"""with {TEAM_ROWS} select a.fixture_id, a.team from tr a where not exists (select 1 from tr b where b.team = a.team and b.fixture_id <> a.fixture_id and b.kick >= a.kick - 4320 and b.kick < a.kick)""")
 def clean_horizon_filter(t: Tables) -> DataFrame:
-    rows = team_rows(t).select("fixture_id", "team", "kick", (F.col("kick") - 4320).alias("cutoff"))
-    w = W.partitionBy("team").orderBy("kick").rangeBetween(-4320, -1)
-    return rows.withColumn("n", F.count(F.lit(1)).over(w)).where("n = 0").select("fixture_id", "team")
+    return context.looking_back(team_rows(t).select("fixture_id", "team", "kick"), ["team"], "kick", {"n": (F.count(F.lit(1)), 4320)}).where("n = 0").select("fixture_id", "team")
 
 
 @query(f"""with {TICKS}, c as (select l.event_id, r.event_id other, abs(r.sec - l.sec) d, row_number() over (partition by l.event_id order by abs(r.sec - l.sec), r.event_id) rn from tk l join tk r on r.user_id = l.user_id and r.event_type = 'click' and abs(r.sec - l.sec) <= 21600 where l.event_type = 'purchase')
@@ -93,9 +91,9 @@ def nearest_match_ambiguity(t: Tables) -> DataFrame:
 
 @query(f"with {TEAM_ROWS} select a.fixture_id, a.team, count(*) recent, cast(sum(b.scored) as bigint) scored from tr a join tr b on b.team = a.team and b.kick < a.kick and b.kick >= a.kick - 14400 group by all")
 def band_lookback_join(t: Tables) -> DataFrame:
-    rows = team_rows(t).select("fixture_id", "team", "kick", "scored")
-    pairs = asof.band_join(rows.select("fixture_id", "team", "kick"), rows, ["team"], "kick", "kick", 14400, -1)
-    return pairs.groupBy("fixture_id", "team").agg(F.count(F.lit(1)).alias("recent"), F.sum("r_scored").alias("scored"))
+    """A band join of which only sums are asked needs no pairs: windows over spans of time give them."""
+    rows = team_rows(t).select("fixture_id", "team", "kick", F.col("scored").alias("s"))
+    return context.looking_back(rows, ["team"], "kick", {"recent": (F.count(F.lit(1)), 14400), "scored": (F.sum("s"), 14400)}).where("recent > 0").select("fixture_id", "team", "recent", "scored")
 
 
 @query(f"with {MATCHES} select fixture_id, h.n_name home_name, a.n_name away_name, r_name competition_name from m join nation h on h.n_nationkey = home join nation a on a.n_nationkey = away join region on r_regionkey = competition")
