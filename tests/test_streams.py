@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from tidemark.streaming import pipelines as P
 
 S = "id long, k long, at timestamp, v double"
@@ -47,3 +48,12 @@ def test_late_rows_go_aside(spark, folder):
 def test_latest_due(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 9)], "k string, due long")
     assert [r.due for r in P.latest_due(df, ["k"], "due", 5).collect()] == [2]
+
+
+def test_replay_of_a_stream_is_the_replay_of_all(spark):
+    from tidemark.plans.catalogue import QUERIES
+
+    told = lambda name: {r.fixture_id: tuple(r) for r in QUERIES[name](spark, SMALL).collect()}
+    whole, streamed = told("state_replay_goals"), told("stream_state_replay")
+    assert whole.keys() == streamed.keys() and len(whole) > 1000
+    assert all(whole[k] == pytest.approx(streamed[k]) for k in whole)

@@ -63,7 +63,7 @@ def known_before(
     large = (counts.crossJoin(F.broadcast(size)) if shard_rows is None else counts.withColumn("size", F.lit(shard_rows))).where("n > size").select("k", F.ceil(F.col("n") / F.col("size")).cast("int").alias("parts"))
     cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: F.get("at", F.floor(i * shards / F.col("parts")).cast("int"))))
     hot = (
-        times.join(F.broadcast(large), "k").groupBy("k", "parts").agg(F.percentile_approx("t", [i / shards for i in range(shards)], 20 * shards).alias("at"))
+        times.join(F.broadcast(large), "k").groupBy("k", "parts").agg(F.percentile_approx("t", [i / shards for i in range(shards)], 4 * shards).alias("at"))
         .select("k", cuts.alias("cuts"))
     )
     hot = F.broadcast(hot) if shard_rows is None else hot

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -120,10 +120,10 @@ class Replay:
             self.off[n] += slope[n] / self.sure[n]
 
 
-def fold(frames: Iterator[pd.DataFrame], spec: ReplaySpec) -> Iterator[pd.DataFrame]:
+def fold(frames: Iterable[pd.DataFrame], spec: ReplaySpec, known: Replay | None = None) -> Iterator[pd.DataFrame]:
     """Batches of events sorted by group, time and phase, to snapshots. Only the states of one group and the matches of
-    one time are kept, however many a group has."""
-    run, replay, held = None, Replay(spec), []
+    one time are kept, however many a group has. Of one group, what is ``known`` of it may be gone on from."""
+    run, replay, held = None, known or Replay(spec), []
     out: list[tuple] = []
 
     def close() -> None:
@@ -138,7 +138,7 @@ def fold(frames: Iterator[pd.DataFrame], spec: ReplaySpec) -> Iterator[pd.DataFr
         for this, match in zip(zip(*(frame[c].tolist() for c in ("_g", "_t", "_phase")), strict=True), zip(*(frame[c].tolist() for c in MATCH), strict=True), strict=True):
             if this != run:
                 close()
-                if run is None or this[0] != run[0]:
+                if run is not None and this[0] != run[0]:
                     replay = Replay(spec)
                 run = this
             held.append(match)
@@ -152,11 +152,15 @@ def state_replay(matches: DataFrame, group: Column, spec: ReplaySpec) -> DataFra
     """Expected goals of every match as known ``lead_minutes`` before it. At every time all snapshots are taken before any
     result counts. The order of results is sequential by nature, so matches are grouped by what couples their states,
     see :func:`coupled`; a group's events run through one task as a sorted stream and are never collected."""
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return replay_events(matches, group, spec).repartition(parts, "_g").sortWithinPartitions("_g", "_t", "_phase", "fixture_id").mapInPandas(lambda frames: fold(frames, spec), SNAPSHOT)
+
+
+def replay_events(matches: DataFrame, group: Column, spec: ReplaySpec) -> DataFrame:
+    """Two events of each match with their ``_g``, ``_t`` and ``_phase``: its snapshot and its result."""
     event = lambda t, p: F.struct(t.alias("t"), F.lit(p).alias("p"))
     both = F.explode(F.array(event(F.col("kick") - spec.lead_minutes, 0), event(F.col("kick") + spec.delay_minutes, 1)))
-    events = matches.select(group.alias("_g"), *MATCH, both.alias("e")).select("_g", *MATCH, F.col("e.t").alias("_t"), F.col("e.p").alias("_phase"))
-    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartition(parts, "_g").sortWithinPartitions("_g", "_t", "_phase", "fixture_id").mapInPandas(lambda frames: fold(frames, spec), SNAPSHOT)
+    return matches.select(group.alias("_g"), *MATCH, both.alias("e")).select("_g", *MATCH, F.col("e.t").alias("_t"), F.col("e.p").alias("_phase"))
 
 
 def coupled(matches: DataFrame) -> DataFrame:

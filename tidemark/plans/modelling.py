@@ -202,6 +202,20 @@ def state_replay_corners(t: Tables) -> DataFrame:
     return replay.state_replay(replay.coupled(cut(matches(t).withColumn("neutral", F.col("fixture_id") % 10 == 0))), F.col("group"), spec)
 
 
+@query()
+def stream_state_replay(t: Tables) -> DataFrame:
+    """The replay over a stream of events in four deliveries, with the states kept between them."""
+    spec, at = replay.ReplaySpec(), f"{checkpoint_dir(t.spark)}/tidemark-{t.spark.sparkContext.applicationId}/replay/{uuid.uuid4().hex}"
+    played = cut(matches(t).withColumn("neutral", F.lit(False)))
+    events = cut(replay.replay_events(replay.coupled(played), F.col("group"), spec))
+    edges = events.agg(F.percentile_approx("_t", [0.25, 0.5, 0.75], 1000)).first()[0] or [0, 0, 0]
+    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None], strict=True)):
+        part = events.where(F.lit(True) if low is None else F.col("_t") > low).where(F.lit(True) if high is None else F.col("_t") <= high)
+        part.coalesce(1).write.parquet(f"{at}/events/part={i}")
+    source = stream.parquet_stream(t.spark, f"{at}/events/*", events.schema)
+    return stream.run_to_table(stream.replayed(source, spec), f"{at}/out")
+
+
 @query(f"with {CELLS.format(tau='1')}, g as (select prediction_id, h, a, p, h > a r, h = a d, p * exp(0.1 * h - 0.05 * a) q from cells), s as (select *, q / sum(q) over (partition by prediction_id, r, d) * sum(p) over (partition by prediction_id, r, d) / sum(p) over (partition by prediction_id) x from g) select prediction_id, {M6.format('sum(h * x)')} home_mean, {M6.format('sum(x) filter (where r)')} home_win from s group by 1")
 def conditional_tilt(t: Tables) -> DataFrame:
     """Home goals tilted within each outcome, whose probability stays."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.asof import latest_per_key
+from tidemark.operators.replay import SNAPSHOT, Replay, ReplaySpec, fold
 from tidemark.operators.upsert import upsert
 
 
@@ -105,6 +107,23 @@ def running_state(stream: DataFrame, key: str, time: str, value: str) -> DataFra
     return rows.groupBy("key").applyInPandasWithState(update, SEEN, held, "update", GroupStateTimeout.NoTimeout)
 
 
+def replayed(stream: DataFrame, spec: ReplaySpec) -> DataFrame:
+    """The state replay over a stream of :func:`tidemark.operators.replay.replay_events`: a group's states are kept in the
+    state store between batches. A batch is replayed in order of time; events of a time must come in one batch, and no
+    later than those of later times, so the source delivers in order."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        replay = pickle.loads(state.get[0]) if state.exists else Replay(spec)
+        frame = pd.concat(list(frames), ignore_index=True).sort_values(["_t", "_phase", "fixture_id"], kind="stable")
+        out = fold([frame], spec, replay)
+        found = pd.concat(list(out), ignore_index=True)
+        state.update((pickle.dumps(replay),))
+        yield found.astype({"fixture_id": "int64", "home_matches": "int64", "away_matches": "int64"})
+
+    held = T.StructType([T.StructField("replay", T.BinaryType())])
+    return stream.groupBy("_g").applyInPandasWithState(update, SNAPSHOT, held, "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over all that is available into an in-memory table; for tests and small results."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
