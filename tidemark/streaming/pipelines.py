@@ -115,10 +115,9 @@ def replayed(stream: DataFrame, spec: ReplaySpec) -> DataFrame:
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         replay = pickle.loads(state.get[0]) if state.exists else Replay(spec)
         frame = pd.concat(list(frames), ignore_index=True).sort_values(["_t", "_phase", "fixture_id"], kind="stable")
-        out = fold([frame], spec, replay)
-        found = pd.concat(list(out), ignore_index=True)
+        found = [f for f in fold([frame], spec, replay) if len(f)]
         state.update((pickle.dumps(replay),))
-        yield found.astype({"fixture_id": "int64", "home_matches": "int64", "away_matches": "int64"})
+        yield from found
 
     held = T.StructType([T.StructField("replay", T.BinaryType())])
     return stream.groupBy("_g").applyInPandasWithState(update, SNAPSHOT, held, "append", GroupStateTimeout.NoTimeout)
@@ -143,4 +142,4 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={0 if mode == 'complete' else batch_id}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    return spark.read.schema(stream.schema).parquet(f"{path}/data").select(*stream.columns)
