@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions import text as X
 from tidemark.operators import checks, joins, ledger
 from tidemark.plans.registry import Registry, Tables
-from tidemark.session import checkpoint_dir
+from tidemark.session import own_folder
 from tidemark.sources import artifacts, readers
 from tidemark.streaming import pipelines as stream
 
@@ -25,7 +25,7 @@ STATUS = {"FT": "finished", "AET": "finished", "PEN": "finished", "NS": "schedul
 
 def scratch(t: Tables, name: str) -> str:
     """A new path in the shared checkpoint folder."""
-    return f"{checkpoint_dir(t.spark)}/tidemark-{t.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("select o_orderkey from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_custkey not in (select c_custkey from customer where c_mktsegment in ('BUILDING', 'MACHINERY'))")
@@ -285,11 +285,9 @@ def asserted_predictions(t: Tables) -> DataFrame:
 @query("select * from (values ('horizon_hours', 24.0), ('prior_goals', 1.25)) v(name, number)")
 def checked_config(t: Tables) -> DataFrame:
     """Settings read from JSON, refused where they break an invariant."""
-    path = scratch(t, "config").removeprefix("file:")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"horizon_hours": 24.0, "prior_goals": 1.25}, f)
-    config = readers.checked_config(path, {"horizon_hours": lambda x: x > 0, "prior_goals": lambda x: 0 < x < 10})
+    path = scratch(t, "config")
+    artifacts.put(t.spark, path, json.dumps({"horizon_hours": 24.0, "prior_goals": 1.25}).encode())
+    config = readers.checked_config(path, {"horizon_hours": lambda x: x > 0, "prior_goals": lambda x: 0 < x < 10}, t.spark)
     return t.spark.createDataFrame(sorted(config.items()), "name string, number double")
 
 

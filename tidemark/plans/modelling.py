@@ -15,7 +15,7 @@ from tidemark.operators import asof, context, fit, grid, ledger, linking, replay
 from tidemark.plans.registry import Registry, Tables
 from tidemark.plans.relational import mean_micro, micro
 from tidemark.plans.views import TEAM_ROWS, TICKS, matches, team_rows, ticks
-from tidemark.session import checkpoint_dir, cut
+from tidemark.session import cut, own_folder
 from tidemark.sources.readers import field_coverage as coverage
 from tidemark.streaming import pipelines as stream
 
@@ -205,7 +205,7 @@ def state_replay_corners(t: Tables) -> DataFrame:
 @query()
 def stream_state_replay(t: Tables) -> DataFrame:
     """The replay over a stream of events in four deliveries, with the states kept between them."""
-    spec, at = replay.ReplaySpec(), f"{checkpoint_dir(t.spark)}/tidemark-{t.spark.sparkContext.applicationId}/replay/{uuid.uuid4().hex}"
+    spec, at = replay.ReplaySpec(), f"{own_folder(t.spark)}/replay/{uuid.uuid4().hex}"
     played = cut(matches(t).withColumn("neutral", F.lit(False)))
     events = cut(replay.replay_events(replay.coupled(played), F.col("group"), spec))
     edges = events.agg(F.percentile_approx("_t", [0.25, 0.5, 0.75], 1000)).first()[0] or [0, 0, 0]
@@ -317,7 +317,7 @@ def _stream(t: Tables, name: str) -> DataFrame:
 
 
 def _run(df: DataFrame, mode: str) -> DataFrame:
-    return stream.run_to_table(df, f"{checkpoint_dir(df.sparkSession)}/tidemark-{df.sparkSession.sparkContext.applicationId}/streams/{uuid.uuid4().hex}", mode)
+    return stream.run_to_table(df, f"{own_folder(df.sparkSession)}/streams/{uuid.uuid4().hex}", mode)
 
 
 @query("select event_id from events")

@@ -55,15 +55,21 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The session's folder in the shared checkpoint folder; it is removed when the session ends."""
+    folder = f"{checkpoint_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared checkpoint folder and reads it from there, so that later stages neither
     repeat its work nor depend on one executor's disk, read only the columns they need, and are planned with its true
     size. The tables of a session are removed at its end."""
     spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
-    if folder not in _folders:
-        _folders.add(folder)
-        atexit.register(_remove, spark, folder)
+    folder = own_folder(spark)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -21,6 +21,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one small file, in whatever file system it lies."""
+    fs, Path = _fs(spark, path)
+    out = fs.create(Path(path), True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def verify(df: DataFrame, keys: Sequence[str], time: str | None = None) -> DataFrame:
     """``rows, distinct_keys`` and the range of a time column, in one aggregation."""
     cells = [F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(*keys)).alias("distinct_keys")]
@@ -50,9 +58,7 @@ def freeze(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str])
     if not fs.rename(Path(beside), Path(path)):
         raise OSError(f"{beside} can't be renamed to {path}")
     fs.delete(Path(old), True)
-    out = fs.create(Path(f"{path}.manifest.json"), True)
-    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-    out.close()
+    put(spark, f"{path}.manifest.json", json.dumps(manifest, sort_keys=True).encode())
     return manifest
 
 
@@ -72,16 +78,10 @@ def store_raw(spark: SparkSession, root: str, source: str, resource: str, body:
     """Puts one retrieval into a content-addressed store in whatever file system ``root`` lies: the gzipped body once for
     its content, a sidecar for every retrieval."""
     fs, Path = _fs(spark, root)
-
-    def put(path: str, data: bytes) -> None:
-        out = fs.create(Path(path), True)
-        out.write(bytearray(data))
-        out.close()
-
     sha = hashlib.sha256(body).hexdigest()
     duplicate = fs.exists(Path(f"{root}/content/{sha}.gz"))
     if not duplicate:
-        put(f"{root}/content/{sha}.gz", gzip.compress(body, mtime=0))
+        put(spark, f"{root}/content/{sha}.gz", gzip.compress(body, mtime=0))
     meta = {"source_code": source, "resource": resource, "retrieved_at": retrieved_at, "http_status": status, "content_sha256": sha, "duplicate_content": duplicate}
-    put(f"{root}/{source}/{resource}/ingest_date={retrieved_at[:10]}/{sha[:16]}-{uuid.uuid4().hex[:8]}.meta.json", json.dumps(meta).encode())
+    put(spark, f"{root}/{source}/{resource}/ingest_date={retrieved_at[:10]}/{sha[:16]}-{uuid.uuid4().hex[:8]}.meta.json", json.dumps(meta).encode())
     return meta

@@ -81,14 +81,14 @@ def field_coverage(df: DataFrame, payload: str, paths: Sequence[str]) -> DataFra
     return rows.select(F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"p{i}").alias("present"), F.col(f"f{i}").alias("filled")) for i, p in enumerate(paths)])).alias("x")).select("x.*")
 
 
-def json_config(path: str | Path) -> dict:
-    """A JSON document of the driver's file system."""
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def json_config(path: str | Path, spark: SparkSession | None = None) -> dict:
+    """A JSON document of the driver's file system or, by a session, of any that it can read."""
+    return json.loads(spark.read.text(str(path), wholetext=True).first()[0] if spark else Path(path).read_text(encoding="utf-8"))
 
 
-def checked_config(path: str | Path, invariants: Mapping[str, Callable[[object], bool]]) -> dict:
+def checked_config(path: str | Path, invariants: Mapping[str, Callable[[object], bool]], spark: SparkSession | None = None) -> dict:
     """:func:`json_config` with exactly the named settings, each of which holds its invariant; else an error names it."""
-    config = json_config(path)
+    config = json_config(path, spark)
     if odd := sorted(set(config) ^ set(invariants)):
         raise ValueError(f"missing or unknown: {odd}")
     for name, holds in invariants.items():
