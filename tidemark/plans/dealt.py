@@ -38,7 +38,35 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 
+
+
+def _objects(value: str) -> str:
+    """SQL for the objects of a JSON field: its own or those of a list."""
+    return f"(case json_type({value}) when 'OBJECT' then [{value}] when 'ARRAY' then list_filter(from_json({value}, '[\"json\"]'), lambda x: json_type(x) = 'OBJECT') else [] end)"
+
+
+def _key(value: str) -> str:
+    return f"coalesce({value}->>'id', {value}->>'name')"
+
+
 SQL = {
+    "p2_found": f"""
+        with recursive u as (
+          select payload_id, payload::json j from raw_match_payload where json_valid(payload)
+          union all
+          select payload_id, unnest(case when json_type(j) = 'ARRAY' then from_json(j, '["json"]') when json_type(j) = 'OBJECT' and json_exists(j, '$.response') then [case when json_type(j->'response') = 'VARCHAR' then (j->>'response')::json else j->'response' end] else [] end) from u),
+        sec as (select payload_id, f section, j->f v from u, (values ('lineups'), ('players'), ('statistics')) s(f) where json_type(j) = 'OBJECT' and not json_exists(j, '$.response')),
+        e as (select payload_id, section, unnest({_objects('v')}) e from sec),
+        tm as (select * from (select payload_id, section, e, {_key('t')} tk from (select *, unnest({_objects("e->'team'")}) t from e)) where tk is not null),
+        sq as (select payload_id, section, tk, unnest({_objects('v')}) s from (select *, unnest(case section when 'players' then [e->'players'] when 'lineups' then [e->'startXI', e->'substitutes'] else [] end) v from tm)),
+        pl as (select payload_id, section, tk, s, {_key('p')} pk from (select *, unnest({_objects("s->'player'")}) p from sq)),
+        ps as (select payload_id, pk, g, unnest(json_keys(g)) k from (select payload_id, pk, unnest({_objects("s->'statistics'")}) g from pl where section = 'players' and pk is not null)),
+        ts as (select payload_id, tk, unnest({_objects("e->'statistics'")}) g from tm where section = 'statistics'),
+        tk as (select payload_id, tk, g, unnest(json_keys(g)) k from ts where not json_exists(g, '$.type'))
+        select distinct payload_id, case section when 'players' then 'player' else 'lineup' end child_table, tk parent_key, pk child_key from pl where pk is not null
+        union select payload_id, 'player_stat', pk, k from ps where json_type(json_extract(g, '/' || replace(replace(k, '~', '~0'), '/', '~1'))) <> 'NULL'
+        union select payload_id, 'team_stat', tk, g->>'type' from ts where json_exists(g, '$.type') and json_type(g->'value') <> 'NULL' and g->>'type' is not null
+        union select payload_id, 'team_stat', tk, k from tk where json_type(json_extract(g, '/' || replace(replace(k, '~', '~0'), '/', '~1'))) not in ('NULL', 'OBJECT')""",
     "p4_found": """
         with v as (
           select 'performance' kind, performance_id id, available_at t, unnest([home_team_id, away_team_id]) team from fixture_performance where available_at is not null
