@@ -127,3 +127,21 @@ def test_frames(spark):
 def test_answers_are_whole_words():
     assert answered("2-1", "It ended 2-1.") and not answered("2-1", "It ended 12-14.")
     assert answered("Calan Mor", "by <b>CALAN</b> Mor") and answered("Calan Morwel", "Calan-M o r w e l") and not answered("", "any") and not answered("al", "Calan")
+
+
+def test_recall_and_precision_over_planted_passages():
+    """Passages of 25 to 60 words with a tenth of them edited, in documents of other words; shorter quotations beside."""
+    r, index = random.Random(11), Index.build(ITEMS)
+    wanted = got = right = 0
+    for n in range(150):
+        i = r.randrange(len(ITEMS))
+        w = words(i)
+        length = min(len(w), r.choice([26, 30, 40, 60]))
+        a = r.randrange(len(w) - length + 1)
+        told = [x for x in w[a : a + length] for x in ([x] if r.random() > 0.1 else r.choice([["quatsch"], [], [x, "indeed"]]))]
+        j = (i + 7) % len(ITEMS)
+        short = words(j)[30:45]
+        doc = f"{text(2000 + n, 150)} {' '.join(told)} {text(3000 + n, 60)} {' '.join(short)} {text(4000 + n, 90)}"
+        found = {x[0] for x in leaks_of(doc, index, **OPTIONS)}
+        wanted, got, right = wanted + 1, got + len(found), right + (i in found)
+    assert right >= 0.97 * wanted and right == got

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 import xxhash
 
@@ -79,3 +82,25 @@ def test_a_template_has_the_verdict_of_each_of_its_sequences(spark):
 def test_titles_and_long_tags():
     assert messages("A - B | Match centre\n\nReload") == ["Reload"]
     assert messages("<a href='" + "x" * 5000 + "'>Goal</a>") == ["Goal"]
+
+
+def test_recall_over_planted_slots_and_none_in_what_is_left(spark):
+    """Reports of the small table, none of which is residue, with a value of every second one replaced by a slot."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    bad = {r.doc for r in residue(docs, doc_id="doc_id", text="text").collect()}
+    forms = ["{{{{ {} }}}}", "${{{}}}", "[[{}]]", "«{}»", "<{}>", "%({})s", "@@{}@@", "__{}__", "[INSERT {}]", "<%= {} %>", "#{{{}}}", "{{{}}}"]
+    r, rows, planted = random.Random(2), [], set()
+    for d in docs.where("text is not null").collect():
+        numbers = [m.span() for m in re.finditer(r"(?<= )\d+(?= )", d.text)]
+        if d.doc_id in bad or "`" in d.text:
+            continue
+        t = d.text
+        if numbers and d.doc_id % 2:
+            a, b = r.choice(numbers)
+            form = r.choice(forms)
+            name = r.choice(["home_team", "odds", "match_date"])
+            t = t[:a] + form.format(name.upper() if "«" in form or "INSERT" in form else name) + t[b:]
+            planted.add(d.doc_id)
+        rows.append((d.doc_id, t))
+    found = {x.doc for x in residue(spark.createDataFrame(rows, "doc_id long, text string"), doc_id="doc_id", text="text").collect()}
+    assert len(planted) > 40 and len(found & planted) >= 0.98 * len(planted) and found <= planted
