@@ -160,3 +160,18 @@ def test_fits(spark):
     df = spark.createDataFrame([(i % 2, 1.0 if i % 2 else -1.0) for i in range(40)] + [(3, 1.0)] * 10, "y int, x double")
     (b,) = fit.fit_poisson(df, "y", F.lit(0.0), [F.col("x")], ridge=0.1)
     assert b > 0
+
+
+def test_tilts_join_no_cells(spark):
+    """Cells joined with their sums were broadcast, which took the driver's memory."""
+    base = spark.createDataFrame([(1, 1.3, 0.9), (2, 2.1, 1.7), (3, 0.4, 0.2)], "id long, x double, y double")
+    cells = grid.score_rows(base, ["id"], F.col("x"), F.col("y"), F.lit(0.0)).withColumn("r", F.col("h") > F.col("a"))
+    args = (["id"], {"h": F.col("h").cast("double")}, {"h": 0.2})
+    for within in (["r"], []):
+        whole = grid.tilted(cells, *args, within)
+        sums = grid.tilted_sums(cells, *args, {"m": F.col("h"), "w": F.when(F.col("r"), 1.0)}, within)
+        want = {x.id: (x.m, x.w) for x in whole.groupBy("id").agg(F.sum(F.col("h") * F.col("p")).alias("m"), F.sum(F.when(F.col("r"), F.col("p"))).alias("w")).collect()}
+        got = {x.id: (x.m, x.w) for x in sums.collect()}
+        assert set(got) == set(want) and all(abs(a - b) < 1e-12 for i in want for a, b in zip(got[i], want[i], strict=True))
+        for df in (whole, sums):
+            assert "Join" not in df._jdf.queryExecution().executedPlan().toString()

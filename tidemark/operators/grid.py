@@ -39,16 +39,26 @@ def outcome_probabilities(cells: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def tilted(cells: DataFrame, keys: Sequence[str], features: dict[str, Column], weights: dict[str, float], within: Sequence[str] = ()) -> DataFrame:
     """Cells reweighted by ``exp(sum weight * feature)`` and normalised again; with ``within`` only inside those parts,
-    whose probabilities then stay what they were. The largest exponent is taken out first."""
+    whose probabilities then stay what they were. The largest exponent is taken out first. Sums are windows over one
+    sort, never joins of the cells with them. Where only sums over the cells are wanted, see :func:`tilted_sums`."""
     eta = F.lit(0.0)
     for name, w in weights.items():
         eta = eta + w * features[name]
-    groups = [*keys, *within]
-    scored = cells.withColumn("_eta", eta)
-    top = scored.groupBy(*groups).agg(F.max("_eta").alias("_top"), F.sum("p").alias("_part"))
-    lifted = scored.join(top, groups).withColumn("_q", F.col("p") * F.exp(F.col("_eta") - F.col("_top")))
-    sums = lifted.groupBy(*groups).agg(F.sum("_q").alias("_s"))
-    return lifted.join(sums, groups).withColumn("p", F.col("_q") / F.col("_s") * (F.col("_part") if within else F.lit(1.0))).drop("_eta", "_top", "_part", "_q", "_s")
+    part = W.partitionBy(*keys, *within)
+    scored = cells.withColumn("_eta", eta).withColumn("_top", F.max("_eta").over(part)).withColumn("_part", F.sum("p").over(part))
+    lifted = scored.withColumn("_q", F.col("p") * F.exp(F.col("_eta") - F.col("_top")))
+    return lifted.withColumn("p", F.col("_q") / F.sum("_q").over(part) * (F.col("_part") if within else F.lit(1.0))).drop("_eta", "_top", "_part", "_q")
+
+
+def tilted_sums(cells: DataFrame, keys: Sequence[str], features: dict[str, Column], weights: dict[str, float], sums: dict[str, Column], within: Sequence[str] = ()) -> DataFrame:
+    """``keys`` and, for each of ``sums``, its sum over the cells as :func:`tilted` reweights them, times their ``p``.
+    Cells are summed by part before the shuffle, so a few rows a key are shuffled. Exponents must be below 700."""
+    eta = F.lit(0.0)
+    for name, w in weights.items():
+        eta = eta + w * features[name]
+    q = F.col("p") * F.exp(eta)
+    parts = cells.groupBy(*keys, *within).agg(F.sum(q).alias("_s"), F.sum("p").alias("_part"), *[F.sum(x * q).alias(name) for name, x in sums.items()])
+    return parts.groupBy(*keys).agg(*[F.sum(F.col(name) / F.col("_s") * (F.col("_part") if within else F.lit(1.0))).alias(name) for name in sums])
 
 
 def tempered_cells(cells: DataFrame, keys: Sequence[str], temperature: float) -> DataFrame:

@@ -220,8 +220,8 @@ def stream_state_replay(t: Tables) -> DataFrame:
 def conditional_tilt(t: Tables) -> DataFrame:
     """Home goals tilted within each outcome, whose probability stays."""
     cells = _grid(t, F.lit(0.0)).withColumn("r", F.col("h") > F.col("a")).withColumn("d", F.col("h") == F.col("a"))
-    out = grid.tilted(cells, ["prediction_id"], {"home": F.col("h").cast("double"), "away": F.col("a").cast("double")}, {"home": 0.1, "away": -0.05}, ["r", "d"])
-    sums = out.groupBy("prediction_id").agg(F.sum(F.col("h") * F.col("p")).alias("m"), F.sum(F.when(F.col("r"), F.col("p"))).alias("w"))
+    features = {"home": F.col("h").cast("double"), "away": F.col("a").cast("double")}
+    sums = grid.tilted_sums(cells, ["prediction_id"], features, {"home": 0.1, "away": -0.05}, {"m": F.col("h"), "w": F.when(F.col("r"), 1.0)}, ["r", "d"])
     return sums.select("prediction_id", micro("m").alias("home_mean"), micro("w").alias("home_win"))
 
 
